@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import ngram_join, quality_classifier, quality_rules, token_output
+from spindrift.llm import decontamination, ngram_join, quality_classifier, quality_rules, token_output
 from spindrift.llm.common import table
 
 
@@ -39,12 +39,16 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.predictions(quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_output, op3_quality_classifier, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_output, op3_quality_classifier, op5_benchmark_decontamination, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
