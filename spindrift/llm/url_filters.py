@@ -66,7 +66,7 @@ def ruled(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, links: links of the pages of a host to each host, its own included. pages: host, html."""
-    href = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
+    href = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)<a\\s[^>]*?href\\s*=\\s*["']?([^"'\s>]+)"""), F.lit(1))
     links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(href).alias("to"))
     far = F.when(F.col("to").startswith("//"), host_of(F.concat(F.lit("http:"), F.col("to")))).when(F.col("to").rlike(r"(?i)^https?://"), host_of(F.col("to")))
     near = F.when(~F.col("to").rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & ~F.col("to").startswith("#"), F.col("src"))
@@ -129,7 +129,7 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     hosts AS (SELECT host, count(*) FILTER (by_rule = 'allow') AS allowed, count(*) FILTER (by_rule = 'block') AS blocked FROM known WHERE host <> '' GROUP BY host),
     total AS (SELECT greatest(sum(allowed + blocked), 1)::DOUBLE AS n FROM hosts),
     seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, allowed / n AS weight FROM hosts, total WHERE allowed > 0 UNION ALL SELECT 'distrust', host, blocked / n FROM hosts, total WHERE blocked > 0),
-    refs AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1, 'i')) AS dest FROM known WHERE host <> ''),
+    refs AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '<a\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'i')) AS dest FROM known WHERE host <> ''),
     links AS (SELECT src, CASE WHEN starts_with(dest, '//') THEN {host("'http:' || dest")} WHEN regexp_matches(dest, '^https?://', 'i') THEN {host("dest")}
         WHEN NOT regexp_matches(dest, '^[a-z][a-z0-9+.-]*:', 'i') AND NOT starts_with(dest, '#') THEN src END AS dst FROM refs),
     counted AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM links WHERE dst <> '' GROUP BY src, dst),
