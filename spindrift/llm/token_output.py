@@ -23,9 +23,11 @@ unknown code points are bytes to the tokenizer; a damaged frame raises ValueErro
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +38,29 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import column, ship, slices, written
 
 END = 0
-LANES, BLOCK, FRAME = 1024, 1 << 18, 1 << 20
+LANES, BLOCK, FRAME = 2048, 1 << 19, 1 << 20
 #: Frequencies of the shared table add up to 2 ** BITS; states stay in [2 ** 31, 2 ** 63).
 BITS, LOW = 20, np.uint64(1 << 31)
-MEMO = 200_000
+MEMO = 400_000
 MAGIC = b"RNS1"
 
 
 # -- tokens ---------------------------------------------------------------------------------------
 
 
+def _letters() -> np.ndarray:
+    """By code point under 0x800: whether it is a letter or a number."""
+    return np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(0x800)])
+
+
 class Encoder:
     """Ids of whole texts as little-endian u16, with the tokenizers library.
 
-    A single space between two characters that are not white space starts a pre-token of this
-    byte-level tokenizer, so what stands between such spaces is encoded once and remembered (MEMO
-    entries at most). Texts with other white space around spaces go to the library whole.
+    This byte-level tokenizer cuts texts into pre-tokens: runs of letters, of digits and of other signs, each
+    with one space before it, and runs of white space. So a new one begins at a single space between
+    two characters that are not white space, at a full stop or comma behind a letter or digit, and at a line
+    break behind what is not white space. Texts are cut there, each part is encoded once and remembered
+    (MEMO parts at most). A text with a mark that stands otherwise goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,30 +68,62 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letter = _letters()
         self.memo: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, parts: list[str]) -> list[bytes]:
+        """As whole, for parts of a space and then letters and digits: a token begins a part where it begins with a space."""
+        out: list[bytes] = []
+        for x in self.tokenizer.encode_batch_fast(["".join(parts[k : k + 256]) for k in range(0, len(parts), 256)], add_special_tokens=False):
+            ids = np.array(x.ids, "<u2")
+            cut = np.flatnonzero(self.spaced[ids]).tolist()
+            raw = ids.tobytes()
+            out += [raw[2 * a : 2 * b] for a, b in zip(cut, [*cut[1:], len(ids)], strict=True)]
+        return out
+
+    def regular(self, texts: list[str]) -> np.ndarray:
+        """Whether every mark of a text stands where a pre-token begins."""
+        raws = [("x" + t + "x").encode("utf-8") for t in texts]
+        sizes = np.array([len(r) for r in raws])
+        at = np.frombuffer(b"".join(raws), np.uint8)
+        point = np.zeros(len(at), np.int64)  # code points as far as they have two bytes, at either byte; else 0x7FF
+        two = (at[:-1] >= 0xC2) & (at[:-1] < 0xE0)
+        point[:] = np.where(at < 0x80, at, 0x7FF)
+        pairs = np.flatnonzero(two)
+        point[pairs] = point[pairs + 1] = ((at[pairs].astype(np.int64) & 31) << 6) | (at[pairs + 1] & 63)
+        letter = self.letter[point]
+        ascii_sign = (at > 32) & (at < 127)
+        mark = (at == 46) | (at == 44)
+        bad = mark[1:] & ~letter[:-1]
+        bad |= (at[1:] == 32) & ~(letter[:-1] | ascii_sign[:-1])
+        bad |= (at[:-1] == 32) & ~(letter[1:] | (ascii_sign[1:] & ~mark[1:]))
+        bad |= (at[1:] == 10) & ~(letter[:-1] | ascii_sign[:-1])
+        bad |= at[1:] == 0
+        return ~np.logical_or.reduceat(np.append(bad, False), np.cumsum(sizes) - sizes)
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
-        new = list({p for x in parts for p in x if p not in self.memo})
-        if len(self.memo) + len(new) > MEMO:
+        if not texts:
+            return []
+        parts = [t.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n").split("\0") if r else [t] for t, r in zip(texts, self.regular(texts).tolist(), strict=True)]
+        flat = list(chain.from_iterable(parts))
+        got = list(map(self.memo.get, flat))
+        missing = [k for k, x in enumerate(got) if x is None]
+        new = {flat[k] for k in missing}
+        words = [p for p in new if p[:1] == " " and p[1:].isalnum()]
+        other = list(new.difference(words))
+        learned = dict(zip(words, self.words(words), strict=True)) | dict(zip(other, self.whole(other), strict=True))
+        for k in missing:
+            got[k] = learned[flat[k]]
+        if len(self.memo) + len(learned) > MEMO:
             self.memo = {}
-            new = list({p for x in parts for p in x})
-        self.memo.update(zip(new, self.whole(new), strict=True))
-        return [b"".join(map(self.memo.__getitem__, x)) for x in parts]
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
+        self.memo.update((p, x) for p, x in learned.items() if len(p) < 64)  # whole texts are not worth remembering
+        ends = np.cumsum([len(x) for x in parts]).tolist()
+        return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(2)
