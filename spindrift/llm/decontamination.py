@@ -18,16 +18,15 @@ their rows; rows with a null doc_id or item_id never match. Extra columns are ig
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import column, mix64, ship, slices
+from spindrift.llm.common import column, mix64, packed, ship, slices, written
 
 WINDOW, LITERALS, COVERAGE, ENOUGH = 8, 4, 0.5, 13
 FILTER_BITS = 24
@@ -37,44 +36,42 @@ UNITS = frozenset("""mm cm m km inch inches foot feet ft yard yards mile miles m
 tonne tonnes oz ounce ounces lb lbs pound pounds ml l liter liters litre litres gallon gallons second seconds sec minute minutes min
 hour hours hr day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees
 celsius fahrenheit kelvin watt watts volt volts amp amps joule joules newton newtons hz khz mhz mph kmh""".split())
-#: A word with what stands before it.
-WORD = re.compile("([^0-9A-Za-z\u0080-\U0010ffff]*)([0-9A-Za-z\u0080-\U0010ffff]+)")
-#: What stands before the first word of a sentence holds one of these.
-_STOPS = frozenset(".!?\n:;")
+#: Bytes that do not belong to words become spaces, those that end a sentence full stops.
+_PLAIN = bytes(c if c >= 0x80 or chr(c).isalnum() else 46 if chr(c) in ".!?\n:;" else 32 for c in range(256))
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _KIND_HASH = {NUMBER: 0x51ED270B, NAME: 0x7A3C9F11, UNIT: 0x2F6B4D83}
 MEMO = 200_000
 
 
-def _name(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
-
-
-def _token(gap: str, word: str) -> tuple[int, int, int]:
-    """Hash of the template token, its kind, and a name of what fills the slot (0 for a literal)."""
+def _rows_of(word: str) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
+    """Within a sentence, and at its beginning: hash of the template token, its kind, and a name of what fills the slot
+    (0 for a literal)."""
     low = word.lower()
+    name = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) | 1
+    literal = (name, LITERAL, 0)
     if word[0] in "0123456789":
         kind = NUMBER
     elif low in UNITS:
         kind = UNIT
-    elif word[0].isupper() and not word.isupper() and _STOPS.isdisjoint(gap):
-        kind = NAME
+    elif word[0].isupper() and not word.isupper():
+        return (_KIND_HASH[NAME], NAME, name), literal
     else:
-        return _name(low), LITERAL, 0
-    return _KIND_HASH[kind], kind, _name(low)
+        return literal, literal
+    return ((_KIND_HASH[kind], kind, name),) * 2
 
 
 class _Tokens(dict):
-    """Rows of a table by (gap, word), made when first asked for."""
+    """For each word two rows of a table, within a sentence and at its beginning, made when first asked for."""
 
     def __init__(self) -> None:
-        self.rows = np.zeros((1024, 3), np.uint64)
+        self.rows = np.zeros((2048, 3), np.uint64)
+        self[b"."] = 0
 
-    def __missing__(self, key: tuple[str, str]) -> int:
-        at = self[key] = len(self)
-        if at == len(self.rows):
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        if 2 * at == len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = _token(*key)
+        self.rows[2 * at : 2 * at + 2] = _rows_of(word.decode("utf-8", "surrogatepass"))
         return at
 
 
@@ -86,14 +83,19 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     global _tokens
     if len(_tokens) > MEMO:
         _tokens = _Tokens()
-    pairs = WORD.findall(text or "")
-    if pairs:
-        pairs[0] = ("\n", pairs[0][1])
-    at = np.array(list(map(_tokens.__getitem__, pairs)), np.int64)
-    got = _tokens.rows[at]
+    parts = packed(text).translate(_PLAIN).replace(b".", b" . ").split()
+    at = np.fromiter(map(_tokens.__getitem__, parts), np.int64, len(parts))
+    word = at > 0
+    begins = np.ones(len(at), bool)
+    begins[1:] = ~word[:-1]
+    got = _tokens.rows[(2 * at + begins)[word]]
     return got[:, 0], got[:, 1].astype(np.int64), got[:, 2]
 
 
+#: Odd factors of the window hash.
+_FACTORS = mix64(np.arange(1, WINDOW + 1)) | np.uint64(1)
+
+
 def windows(tokens: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows, and where they stand; those with too few literals are left out."""
     n = len(tokens) - WINDOW + 1
@@ -101,7 +103,8 @@ def windows(tokens: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.zeros(n, np.uint64)
     for k in range(WINDOW):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n] + np.uint64(k + 1))
+        h += tokens[k : k + n] * _FACTORS[k]
+    h = mix64(h)
     literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
     at = np.flatnonzero(literal[WINDOW:] - literal[:n] >= LITERALS)
     return h[at], at
@@ -172,6 +175,7 @@ def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     side = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("n_tokens").alias("item_tokens"), F.col("fill").alias("item_fill"))
     side = F.broadcast(side) if n <= BROADCAST_WINDOWS else side
     hits = found.join(side, "hash").select(F.col("id").alias("doc_id"), "item_id", "item_tokens", "pos", "item_pos", "fill", "item_fill", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    hits = written(hits, "hits")  # read three times below
     key = ["doc_id", "item_id", "shift"]
     # Slots: of pairs (item filling, document filling) along an alignment, either side has to have one partner.
     slots = hits.select(*key, F.explode(F.arrays_zip("item_fill", "fill")).alias("s")).where("s.item_fill <> 0").groupBy(*key, "s").agg(F.lit(1).alias("one"))

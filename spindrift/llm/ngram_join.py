@@ -28,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def shingles(text: str | None) -> np.ndarray:
         return np.zeros(0, np.uint64)
     seen: dict[str, int] = {}
     at = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-    names = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in seen), "<u8")[at]
+    names = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in seen], np.uint64)[at]
     n = max(len(words) - SHINGLE + 1, 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, len(words))):
