@@ -86,6 +86,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Bitmap:
+    """Which 64-bit hashes occur, as 2 ** bits bits by their upper bits: of a fixed size, whatever it is made from."""
+
+    def __init__(self, hashes: DataFrame, bits: int) -> None:
+        """hashes: one long column `hash`."""
+        self.bits, self.words = bits, np.zeros(1 << (bits - 5), np.uint32)
+        top = F.shiftrightunsigned("hash", 64 - bits)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 31 as int))")
+        for r in hashes.groupBy(F.shiftright(top, 5).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+            self.words[r["word"]] = r["bits"]
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        """False for hashes that do not occur, true for those that do and a few others."""
+        top = hashes >> np.uint64(64 - self.bits)
+        return (self.words[(top >> np.uint64(5)).astype(np.int64)] >> (top & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: tuple[int, int] | None = None) -> tuple[list[str | None], np.ndarray]:
     """Texts and labels of at most `rows` labelled documents, the same ones whatever the partitioning.
 

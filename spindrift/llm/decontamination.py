@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import column, mix64, packed, ship, slices, written
+from spindrift.llm.common import Bitmap, column, mix64, packed, ship, slices, written
 
 WINDOW, LITERALS, COVERAGE, ENOUGH = 8, 4, 0.5, 13
 FILTER_BITS = 24
@@ -138,19 +138,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").mapInArrow(run, SCHEMA)
 
 
-def bitmap(items: DataFrame) -> np.ndarray:
-    """Bits of the hashes that occur, 2 ** FILTER_BITS of them at most, whatever the benchmark's size."""
-    h = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-    words = items.groupBy(F.shiftright(h, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - FILTER_BITS}) & 31 as int))")).alias("bits")).collect()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for r in words:
-        out[r["word"]] = r["bits"]
-    return out
-
-
-def passing(docs: DataFrame, filter_bits: np.ndarray) -> DataFrame:
+def passing(docs: DataFrame, known: Bitmap) -> DataFrame:
     """Windows of the documents that the bitmap lets through."""
-    held = docs.sparkSession.sparkContext.broadcast(filter_bits)
+    held = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -158,8 +148,7 @@ def passing(docs: DataFrame, filter_bits: np.ndarray) -> DataFrame:
             for ident, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
                 tokens, kinds, fill = template(text)
                 h, at = windows(tokens, kinds)
-                top = h >> np.uint64(64 - FILTER_BITS)
-                may = (held.value[(top >> np.uint64(5)).astype(np.int64)] >> (top & np.uint64(31)).astype(np.uint32)) & 1 == 1
+                may = held.value.may_hold(h)
                 rows += _rows(ident, tokens, kinds, fill, h[may], at[may])
             yield _batch(rows)
 
@@ -171,7 +160,7 @@ def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of a document and an item with a window in common, along its best consistent alignment."""
     items = benchmark_windows(benchmark).persist()
     n = items.count()
-    found = passing(docs, bitmap(items))
+    found = passing(docs, Bitmap(items.select("hash"), FILTER_BITS))
     side = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("n_tokens").alias("item_tokens"), F.col("fill").alias("item_fill"))
     side = F.broadcast(side) if n <= BROADCAST_WINDOWS else side
     hits = found.join(side, "hash").select(F.col("id").alias("doc_id"), "item_id", "item_tokens", "pos", "item_pos", "fill", "item_fill", (F.col("pos") - F.col("item_pos")).alias("shift"))

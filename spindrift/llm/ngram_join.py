@@ -8,8 +8,8 @@ values are compared STEP by STEP; with a uniform prior the similarity after m ma
 Beta(m + 1, n - m + 1), and a pair is dropped when it has a chance under TOLERANCE to reach the
 threshold. The rest are verified exactly on the whole sets.
 
-Buckets are found by a count that is pre-aggregated; buckets with the members of another are compared
-once; a large bucket is cut into blocks, and each pair of blocks is a cell of its own task, bounded in rows
+Buckets are found by a count that is pre-aggregated. What buckets connect is gathered, or compared bucket by
+bucket where that is large, and cut into blocks; each pair of blocks is a cell of its own task, bounded in rows
 and shingles, so a hot group is spread and never listed pair by pair: a cell returns a link count for
 each member and a spanning star. Groups of documents that links connect are found by minimum labels
 with pointer jumping over those stars, on tables in the shared folder.
@@ -32,13 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import column, mix64, ship, slices, written
+from spindrift.llm.common import Bitmap, column, mix64, ship, slices, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 HASHES, STEP, TOLERANCE = BANDS * ROWS, 32, 1e-6
 #: Members, and shingles of all members, of a block of a bucket.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
+#: Connected representatives that are gathered; more are compared by bucket.
+GATHERED = 4096
+FILTER_BITS = 24
 #: Sets up to this count in a cell are intersected one by one; more of them by a product of incidences.
 FEW, WIDE = 12, 4096
 
@@ -111,8 +114,8 @@ def sketched(docs: DataFrame) -> DataFrame:
 def _cell(batch: pa.Table) -> pa.Table:
     """Links between the members of a cell: for each member the copies that it is linked with, and a spanning star.
 
-    A pair is counted in the cell of its first common band alone. In a cell of two blocks only pairs
-    across them are looked at.
+    In gathered cells (band -1) pairs with a common band are looked at; in cells of a bucket those that have no
+    earlier one. In a cell of two blocks only pairs across them are looked at.
     """
     ids = np.array(batch.column("rep").to_pylist(), np.int64)
     order = np.argsort(ids, kind="stable")
@@ -128,11 +131,12 @@ def _cell(batch: pa.Table) -> pa.Table:
         keep = side[a] != side[b]
         a, b = a[keep], b[keep]
     if band and len(a):
-        keys = band_keys(values)[:, :band]
-        earlier = np.zeros(len(a), bool)
-        for k in range(band):
-            earlier |= keys[a, k] == keys[b, k]
-        a, b = a[~earlier], b[~earlier]
+        keys = band_keys(values)[:, : band if band > 0 else BANDS]
+        agree = np.zeros(len(a), bool)
+        for k in range(keys.shape[1]):
+            agree |= keys[a, k] == keys[b, k]
+        look = agree if band < 0 else ~agree
+        a, b = a[look], b[look]
     matches = np.zeros(len(a), np.int64)
     for k in range(0, HASHES, STEP):
         matches += (values[a, k : k + STEP] == values[b, k : k + STEP]).sum(1)
@@ -174,8 +178,24 @@ def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total[a, b].astype(np.int64)
 
 
+def _gathered(bucketed: DataFrame) -> DataFrame:
+    """band, bucket, rep, members, shingles: the members of what is compared pair by pair.
+
+    Representatives that buckets connect are gathered once (band -1) when there are at most GATHERED of them;
+    the buckets of larger ones are compared bucket by bucket, as far-fetched connections may join any number.
+    """
+    stars = bucketed.join(bucketed.groupBy("bucket").agg(F.min("rep").alias("root")), "bucket").select("rep", "root")
+    reach = connected(stars).withColumnRenamed("group", "g")
+    sizes = bucketed.select("rep", "n_shingles").distinct().join(reach, "rep").groupBy("g").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    of = written(reach.join(sizes, "g"), "reach")
+    small = of.where(F.col("members") <= GATHERED).select(F.lit(-1).alias("band"), F.col("g").alias("bucket"), "rep", "members", "shingles")
+    large = bucketed.join(of.where(F.col("members") > GATHERED).select("rep"), "rep")
+    counted = large.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    return small.union(large.join(counted, "bucket").select("band", "bucket", "rep", "members", "shingles"))
+
+
 def _cells(bucketed: DataFrame) -> DataFrame:
-    """band, bucket, rep, side, cell_i, cell_j: the members of each pair of blocks of each bucket."""
+    """band, bucket, rep, side, cell_i, cell_j: the members of each pair of blocks."""
     rows = bucketed.withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -212,25 +232,25 @@ def join(docs: DataFrame) -> DataFrame:
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
         marks = written(sketched(docs), "sketches")
     reps = written(marks.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    alone = marks.select("doc_id", "n_shingles", "bands").join(reps.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
-    banded = alone.select(F.col("doc_id").alias("rep"), "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    h = F.xxhash64("rep")
-    shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s")).where("members > 1")
-    # Of buckets with the same members, the one of the first band stays: there each of their pairs is counted.
-    shared = shared.groupBy("members", "x", "s", "shingles").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.*", "members", "shingles")
-    bucketed = written(banded.drop("n_shingles").join(shared, ["band", "bucket"]), "buckets")
+    alone = marks.select(F.col("doc_id").alias("rep"), "n_shingles", "bands").join(reps.select("rep"), "rep")
+    banded = alone.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    bucketed = written(banded.join(shared.select("bucket"), "bucket"), "buckets")
+    cells = written(_cells(_gathered(bucketed)), "cells")
 
-    active = bucketed.select(F.col("rep").alias("doc_id")).distinct()
+    active = spark.sparkContext.broadcast(Bitmap(cells.select(F.xxhash64("rep").alias("hash")), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            batch = batch.filter(pa.array(active.value.may_hold(np.array(column(batch, "hash"), np.int64).astype(np.uint64))))
             sets = [shingles(t) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([sketch(s).astype("<u4").tobytes() for s in sets], pa.binary())], names=["rep", "names", "sketch"])
+            ids = batch.column(0).to_pylist()
+            some = [k for k, x in enumerate(sets) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in some], pa.int64()), pa.array([sets[k].astype("<u8").tobytes() for k in some], pa.binary()), pa.array([sketch(sets[k]).astype("<u4").tobytes() for k in some], pa.binary())], names=["rep", "names", "sketch"])
 
-    whole = docs.join(active, "doc_id").select("doc_id", "text").mapInArrow(run, "rep long, names binary, sketch binary")
-    cells = _cells(bucketed).join(whole.join(reps.select("rep", "copies"), "rep"), "rep").withColumn("across", F.col("cell_i") != F.col("cell_j"))
-    found = written(cells.groupBy("band", "bucket", "cell_i", "cell_j").applyInArrow(_cell, "rep long, root long, links long"), "links")
-    ship(spark)
+    whole = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(run, "rep long, names binary, sketch binary")
+    full = cells.join(whole.join(reps.select("rep", "copies"), "rep"), "rep").withColumn("across", F.col("cell_i") != F.col("cell_j"))
+    found = written(full.groupBy("band", "bucket", "cell_i", "cell_j").applyInArrow(_cell, "rep long, root long, links long"), "links")
     groups = connected(found.select("rep", "root"))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(groups, "rep", "left")
     known = reps.join(linked, "rep", "left").select("set_key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", "rep").alias("group"))

@@ -61,6 +61,22 @@ def test_near_copies_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_large_connections_are_compared_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(J, "GATHERED", 3)
+    monkeypatch.setattr(J, "BLOCK_ROWS", 8)
+    rng = random.Random(6)
+    rows = []
+    for _ in range(6):
+        base = rng.choices([f"w{i}" for i in range(300)], k=rng.randint(20, 90))
+        for _ in range(rng.choice([2, 5, 40])):
+            words = list(base)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_the_given_table_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
