@@ -178,6 +178,20 @@ def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total[a, b].astype(np.int64)
 
 
+def _banded(keyed: DataFrame, shared: DataFrame) -> DataFrame:
+    """rep, n_shingles, band, bucket of the bands whose bucket may be shared, by a bitmap of those that are."""
+    held = keyed.sparkSession.sparkContext.broadcast(Bitmap(shared.select(F.col("bucket").alias("hash")), FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            bands = batch.column(2).flatten().to_numpy()
+            at = np.flatnonzero(held.value.may_hold(bands.astype(np.uint64)))
+            row = pa.array(at // BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array((at % BANDS).astype(np.int32)), pa.array(bands[at], pa.int64())], names=["rep", "n_shingles", "band", "bucket"])
+
+    return keyed.select("rep", "n_shingles", "bands").mapInArrow(run, "rep long, n_shingles long, band int, bucket long")
+
+
 def _gathered(bucketed: DataFrame) -> DataFrame:
     """band, bucket, rep, members, shingles: the members of what is compared pair by pair.
 
@@ -232,10 +246,11 @@ def join(docs: DataFrame) -> DataFrame:
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
         marks = written(sketched(docs), "sketches")
     reps = written(marks.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    alone = marks.select(F.col("doc_id").alias("rep"), "n_shingles", "bands").join(reps.select("rep"), "rep")
-    banded = alone.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    bucketed = written(banded.join(shared.select("bucket"), "bucket"), "buckets")
+    keyed = marks.where("set_key is not null").select(F.col("doc_id").alias("rep"), F.xxhash64("set_key").alias("set_hash"), "n_shingles", "bands")
+    # A bucket is shared when it holds different sets.
+    buckets = keyed.select("set_hash", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high"))
+    shared = written(buckets.where("low <> high").select("bucket"), "shared")
+    bucketed = written(_banded(keyed, shared).join(shared, "bucket").join(reps.select("rep"), "rep"), "buckets")
     cells = written(_cells(_gathered(bucketed)), "cells")
 
     active = spark.sparkContext.broadcast(Bitmap(cells.select(F.xxhash64("rep").alias("hash")), FILTER_BITS))
