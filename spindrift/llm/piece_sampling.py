@@ -31,7 +31,7 @@ from spindrift.llm.common import appended, column, mix64, ship, slices
 from spindrift.llm.pieces import SPACE, UNKNOWN_PENALTY, vocabulary
 
 ALPHA, SEED = 0.5, 17
-MEMO_NODES = 2_500_000
+MEMO_NODES = 4_000_000
 #: Up to this level all words of a batch take their forward pass together; longer ones go on alone.
 LEVELS = 64
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -62,7 +62,8 @@ class Sampler:
         self.forget()
 
     def forget(self) -> None:
-        self.last: dict[str, int] = {}
+        self.place: dict[str, int] = {}
+        self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.nodes = 0
         self.cum, self.source, self.piece = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -97,14 +98,19 @@ class Sampler:
             target, source, piece, weight, level = (x[order] for x in (target, source, piece, weight, level))
         return target, source, piece, weight, level, nodes
 
-    def learn(self, words: set[str]) -> None:
-        """Adds the lattices of words that are new; last[word] is a word's end node."""
-        new = [w for w in words if w not in self.last]
-        if self.nodes and self.nodes + sum(map(len, new)) + 2 * len(new) > MEMO_NODES:
-            self.forget()
-            new = list(words)
-        if not new:
-            return
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word in first and last, its begin and end nodes; new words are added."""
+        got = list(map(self.place.get, words))
+        new = list(dict.fromkeys(words[k] for k, x in enumerate(got) if x is None))
+        if new:
+            if self.nodes and self.nodes + sum(map(len, new)) + 2 * len(new) > MEMO_NODES:
+                self.forget()
+                new = list(dict.fromkeys(words))
+            self.learn(new)
+            got = list(map(self.place.__getitem__, words))
+        return np.array(got, np.int64)
+
+    def learn(self, new: list[str]) -> None:
         target, source, piece, weight, level, nodes = self.edges(new)
         total = np.zeros(nodes)  # the logarithm of the sum of all paths to each node
         share = np.ones(len(target))
@@ -142,7 +148,9 @@ class Sampler:
         run -= np.repeat(run[first] - share[first], count)
         run[first + count - 1] = 1.0
         sizes = np.array([len(w) + 2 for w in new])
-        self.last.update(zip(new, (self.nodes + np.cumsum(sizes) - 1).tolist(), strict=True))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        end = self.nodes + np.cumsum(sizes)
+        self.first, self.last = np.concatenate([self.first, end - sizes]), np.concatenate([self.last, end - 1])
         self.cum = np.concatenate([self.cum, target + run + self.nodes])
         self.source = np.concatenate([self.source, source + self.nodes])
         self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
@@ -152,11 +160,10 @@ class Sampler:
         """Piece ids (u16) of each text; keys: a 64-bit key for each."""
         split = [(t or "").split(" ") for t in texts]
         flat = [w for x in split for w in x]
-        self.learn(set(flat))
+        at = self.places(flat)
         sizes = np.array([len(x) for x in split])
         begin = np.cumsum(sizes) - sizes
-        node = np.array([self.last[w] for w in flat], np.int64)
-        start = node - np.array([len(w) + 1 for w in flat], np.int64)
+        start, node = self.first[at], self.last[at]
         key = mix64(np.repeat(keys, sizes) + (np.arange(len(flat)) - np.repeat(begin, sizes)).astype(np.uint64) * _GOLD)
         steps = np.zeros(len(flat), np.int64)
         active, drawn = np.argsort(node, kind="stable"), []  # searches near each other are quick
