@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 _own_folders: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -20,8 +23,24 @@ _shipped: set[str] = set()
 SLICE = 256
 
 
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+_held: dict[tuple, object] = {}
+
+
+def held_by_worker(key: tuple, make: Callable[[], T]) -> T:
+    """What make() returned for the key; a worker holds one such thing at a time, so operators do not pile up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def ship(spark: SparkSession) -> None:
-    """Make the package importable on executors that do not have the repository on their path."""
+    """Make the package importable on executors that do not have the repository on their path, and batches short."""
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

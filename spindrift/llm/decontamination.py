@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import Bitmap, column, mix64, packed, ship, slices, written
+from spindrift.llm.common import Bitmap, column, held_by_worker, mix64, packed, ship, slices, written
 
 WINDOW, LITERALS, COVERAGE, ENOUGH = 8, 4, 0.5, 13
 FILTER_BITS = 24
@@ -64,6 +64,10 @@ class _Tokens(dict):
     """For each word two rows of a table, within a sentence and at its beginning, made when first asked for."""
 
     def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.rows = np.zeros((2048, 3), np.uint64)
         self[b"."] = 0
 
@@ -75,20 +79,17 @@ class _Tokens(dict):
         return at
 
 
-_tokens = _Tokens()
-
-
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes, kinds and slot fillings of a whole text."""
-    global _tokens
-    if len(_tokens) > MEMO:
-        _tokens = _Tokens()
+    tokens = held_by_worker(("templates",), _Tokens)
+    if len(tokens) > MEMO:
+        tokens.forget()
     parts = packed(text).translate(_PLAIN).replace(b".", b" . ").split()
-    at = np.fromiter(map(_tokens.__getitem__, parts), np.int64, len(parts))
+    at = np.fromiter(map(tokens.__getitem__, parts), np.int64, len(parts))
     word = at > 0
     begins = np.ones(len(at), bool)
     begins[1:] = ~word[:-1]
-    got = _tokens.rows[(2 * at + begins)[word]]
+    got = tokens.rows[(2 * at + begins)[word]]
     return got[:, 0], got[:, 1].astype(np.int64), got[:, 2]
 
 

@@ -13,13 +13,12 @@ Defined results: a null or empty text has 0 tokens; every row has a result, null
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spindrift.llm.common import appended, column, ship, slices
+from spindrift.llm.common import appended, column, held_by_worker, ship, slices
 from spindrift.llm.pieces import SPACE, UNKNOWN_PENALTY, vocabulary
 
 MEMO = 400_000
@@ -69,9 +68,8 @@ class Counter(dict):
         return sum(map(self.__getitem__, words))
 
 
-@lru_cache(2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return held_by_worker(("counter", path), lambda: Counter(path))
 
 
 def count(docs: DataFrame, path: str) -> DataFrame:

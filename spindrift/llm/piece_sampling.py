@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spindrift.llm.common import appended, column, mix64, ship, slices
+from spindrift.llm.common import appended, column, held_by_worker, mix64, ship, slices
 from spindrift.llm.pieces import SPACE, UNKNOWN_PENALTY, vocabulary
 
 ALPHA, SEED = 0.5, 17
-MEMO_NODES = 4_000_000
+MEMO_NODES = 2_500_000
 #: Up to this level all words of a batch take their forward pass together; longer ones go on alone.
 LEVELS = 64
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -65,7 +64,7 @@ class Sampler:
         self.place: dict[str, int] = {}
         self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.nodes = 0
-        self.cum, self.source, self.piece = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.cum, self.source, self.piece = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.uint16)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
         """Of words that are put side by side: target, source, piece, weight and level of each edge; the number of nodes.
@@ -152,8 +151,8 @@ class Sampler:
         end = self.nodes + np.cumsum(sizes)
         self.first, self.last = np.concatenate([self.first, end - sizes]), np.concatenate([self.last, end - 1])
         self.cum = np.concatenate([self.cum, target + run + self.nodes])
-        self.source = np.concatenate([self.source, source + self.nodes])
-        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
+        self.source = np.concatenate([self.source, (source + self.nodes).astype(np.int32)])
+        self.piece = np.concatenate([self.piece, piece.astype(np.uint16)])
         self.nodes += nodes
 
     def encode(self, texts: list[str | None], keys: np.ndarray) -> list[np.ndarray]:
@@ -188,9 +187,8 @@ class Sampler:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
 
 
-@lru_cache(2)
 def sampler(path: str, alpha: float = ALPHA) -> Sampler:
-    return Sampler(path, alpha)
+    return held_by_worker(("sampler", path, alpha), lambda: Sampler(path, alpha))
 
 
 def row_keys(ids: list[int | None], seed: int = SEED) -> np.ndarray:

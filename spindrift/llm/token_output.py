@@ -26,7 +26,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import column, ship, slices, written
+from spindrift.llm.common import column, held_by_worker, ship, slices, written
 
 END = 0
 LANES, BLOCK, FRAME = 2048, 1 << 19, 1 << 20
@@ -126,9 +125,8 @@ class Encoder:
         return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held_by_worker(("encoder", path), lambda: Encoder(path))
 
 
 def clean(text: str | None) -> str:
