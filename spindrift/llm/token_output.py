@@ -26,7 +26,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import column, held_by_worker, ship, slices, written
+from spindrift.llm.common import column, held_by_worker, mix64, ship, slices, written
 
 END = 0
 LANES, BLOCK, FRAME = 2048, 1 << 19, 1 << 20
 #: Frequencies of the shared table add up to 2 ** BITS; states stay in [2 ** 31, 2 ** 63).
 BITS, LOW = 20, np.uint64(1 << 31)
-MEMO = 400_000
+#: Parts that a worker remembers, and their ids.
+SLOTS, POOL = 1 << 21, 1 << 23
 MAGIC = b"RNS1"
 
 
@@ -58,8 +58,8 @@ class Encoder:
     This byte-level tokenizer cuts texts into pre-tokens: runs of letters, of digits and of other signs, each
     with one space before it, and runs of white space. So a new one begins at a single space between
     two characters that are not white space, at a full stop or comma behind a letter or digit, and at a line
-    break behind what is not white space. Texts are cut there, each part is encoded once and remembered
-    (MEMO parts at most). A text with a mark that stands otherwise goes to the library whole.
+    break behind what is not white space. Texts are cut there, and each part is encoded once and remembered
+    by 128 bits of hashes (SLOTS parts at most). A text with a mark that stands otherwise goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,7 +68,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.letter = _letters()
-        self.memo: dict[str, bytes] = {}
+        rng = np.random.default_rng(11)
+        self.random = rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+        self.powers = [np.array([1, b], np.uint64) for b in rng.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
+        self.forget(0)
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
@@ -105,24 +108,69 @@ class Encoder:
         bad |= at[1:] == 0
         return ~np.logical_or.reduceat(np.append(bad, False), np.cumsum(sizes) - sizes)
 
+    def forget(self, tokens: int) -> None:
+        """Empties the memory: a table of SLOTS parts by two 64-bit hashes, and the ids of the parts one after another."""
+        self.one, self.two = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.offset, self.count = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.used = np.zeros(max(POOL, 2 * tokens), np.uint16), 0
+
+    def hashes(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """Two hashes of each part: sums of random numbers of its bytes times powers of an odd number."""
+        place = np.arange(len(at)) - np.repeat(start, size)
+        while len(self.powers[0]) <= size.max():
+            self.powers = [np.concatenate([x, x * x[-1] * x[1]]) for x in self.powers]
+        return [mix64(np.add.reduceat(r[at] * x[place], start)) | np.uint64(1) for r, x in zip(self.random, self.powers, strict=True)]
+
+    def learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts the ids of new parts into the pool; returns where they stand and how many they are."""
+        word = [p[:1] == " " and p[1:].isalnum() for p in parts]
+        known = [p for p, w in zip(parts, word, strict=True) if w]
+        words, other = iter(self.words(known)), iter(self.whole([p for p, w in zip(parts, word, strict=True) if not w]))
+        ids = [next(words if w else other) for w in word]
+        count = np.array([len(x) // 2 for x in ids], np.int64)
+        offset = self.used + np.cumsum(count) - count
+        flat = np.frombuffer(b"".join(ids), "<u2")
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return offset, count
+
+    def cut(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of regular texts that are not empty, all parts of all texts looked up together."""
+        joined = b"".join(raws)
+        at, sizes = np.frombuffer(joined, np.uint8), np.array([len(r) for r in raws])
+        if self.used + len(at) > len(self.pool):
+            self.forget(len(at))
+        begin = np.cumsum(sizes) - sizes
+        marks = (at == 32) | (at == 46) | (at == 44) | (at == 10)
+        marks[begin] = True
+        start = np.flatnonzero(marks)
+        size = np.diff(start, append=len(at))
+        one, two = self.hashes(at, start, size)
+        slot = (one >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        offset, count = self.offset[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        missing = np.flatnonzero((self.one[slot] != one) | (self.two[slot] != two))
+        if len(missing):
+            _, first, where = np.unique(one[missing], return_index=True, return_inverse=True)
+            new = missing[first]
+            parts = [joined[a:b].decode("utf-8") for a, b in zip(start[new].tolist(), (start[new] + size[new]).tolist(), strict=True)]
+            o, c = self.learn(parts)
+            offset[missing], count[missing] = o[where], c[where]
+            self.one[slot[new]], self.two[slot[new]], self.offset[slot[new]], self.count[slot[new]] = one[new], two[new], o, c
+        ends = np.cumsum(count)
+        raw = self.pool[np.arange(ends[-1]) - np.repeat(ends - count - offset, count)].tobytes()
+        stop = ends[np.append(np.searchsorted(start, begin[1:]), len(start)) - 1].tolist()
+        return [raw[2 * a : 2 * b] for a, b in zip([0, *stop], stop, strict=False)]
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        parts = [t.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n").split("\0") if r else [t] for t, r in zip(texts, self.regular(texts).tolist(), strict=True)]
-        flat = list(chain.from_iterable(parts))
-        got = list(map(self.memo.get, flat))
-        missing = [k for k, x in enumerate(got) if x is None]
-        new = {flat[k] for k in missing}
-        words = [p for p in new if p[:1] == " " and p[1:].isalnum()]
-        other = list(new.difference(words))
-        learned = dict(zip(words, self.words(words), strict=True)) | dict(zip(other, self.whole(other), strict=True))
-        for k in missing:
-            got[k] = learned[flat[k]]
-        if len(self.memo) + len(learned) > MEMO:
-            self.memo = {}
-        self.memo.update((p, x) for p, x in learned.items() if len(p) < 64)  # whole texts are not worth remembering
-        ends = np.cumsum([len(x) for x in parts]).tolist()
-        return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        """Ids of each text."""
+        out = [b""] * len(texts)
+        regular = self.regular(texts) if texts else []
+        odd = [k for k, r in enumerate(regular) if not r and texts[k]]
+        even = [k for k, r in enumerate(regular) if r and texts[k]]
+        for at, ids in ((odd, self.whole([texts[k] for k in odd])), (even, self.cut([texts[k].encode("utf-8") for k in even]) if even else [])):
+            for k, x in zip(at, ids, strict=True):
+                out[k] = x
+        return out
 
 
 def encoder(path: str) -> Encoder:
