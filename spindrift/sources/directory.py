@@ -12,6 +12,7 @@ from spindrift.errors import DirectorySchemaError, InvalidPlaceCode, NoRelease
 from spindrift.functions import codes
 from spindrift.functions.projection import national_grid
 from spindrift.operators.nodes import numbered
+from spindrift.tables import settled
 
 #: The directory's columns.
 COLUMNS = ("pcds", "doterm", "east1m", "north1m", "usrtypind", "oa21cd", "lat", "long")
@@ -63,8 +64,8 @@ def resolved(kept: DataFrame) -> DataFrame:
 
     One pass finds how many given references lie over TOLERANCE_M from the projection; any refuses the file.
     """
-    east, north = national_grid(F.col("long").cast("double"), F.col("lat").cast("double"))
-    rows = kept.select("code", F.col("east1m").cast("long").alias("e"), F.col("north1m").cast("long").alias("n"), F.coalesce("oa21cd", F.lit("")).alias("area"), east.alias("pe"), north.alias("pn"))
+    rows = kept.select("code", F.col("east1m").cast("long").alias("e"), F.col("north1m").cast("long").alias("n"), F.coalesce("oa21cd", F.lit("")).alias("area"), F.col("long").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    rows = settled(national_grid(rows, "lon", "lat", "pe", "pn"), "projected")
     north_rows = codes.is_northern(F.col("code"))
     off = F.sqrt((F.col("e") - F.col("pe")) ** 2 + (F.col("n") - F.col("pn")) ** 2)
     bad = rows.where(~north_rows & (off > TOLERANCE_M)).agg(F.count("*").alias("n"), F.max(off).alias("worst")).first()
