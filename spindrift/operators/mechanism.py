@@ -150,7 +150,7 @@ class HopMechanism:
 
         # A fixed number of partitions: the work is in the workers, so small partitions are not to be put together.
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(subject), F.lit(SALTS))).repartition(n, "code", "__salt").drop("__salt").sortWithinPartitions("code")
+        dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(subject), F.lit(SALTS))).repartition(n, "code", "__salt").drop("__salt").sortWithinPartitions("code", "node_id")
         return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.LongType())]))
 
     def perturb_frame(self, df: DataFrame, code_col: str, subject_col: str, key: Key, out_col: str = "place_dp", on_error: str = "error") -> DataFrame:
