@@ -19,7 +19,8 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_classifier.keep(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    # The net learns from all documents: the rules have left hardly any bad ones in docs.
+    return quality_classifier.keep(docs, quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

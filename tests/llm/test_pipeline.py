@@ -33,6 +33,17 @@ def test_stages_on_odd_and_empty_tables(spark):
             assert k == len(P.STAGES) - 1 or out.columns == docs.columns
 
 
+def test_the_classifier_learns_from_all_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held_out = labels.where("quality is not null and crc32(cast(doc_id as string)) % 5 = 0")
+    left = {q: docs.join(held_out.where(f"quality = {q}"), "doc_id", "left_semi") for q in (0, 1)}
+    n, kept = ({q: df.count() for q, df in one.items()} for one in (left, {q: P.by_classifier(spark, df, sf) for q, df in left.items()}))
+    print(n, kept)
+    assert n[0] and kept[0] < 0.1 * n[0]
+    assert kept[1] > 0.97 * n[1]
+
+
 def test_all_are_registered():
     names = E.queries()
     assert "pipeline" in names
