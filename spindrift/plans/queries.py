@@ -416,11 +416,7 @@ def exposure_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def calibrated_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import warnings
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        got = measures.calibrate(geo.graph(spark, sf_dir), "max-self-probability", 0.2, sample_size=8, steps=8)
+    got = measures.calibrate(geo.graph(spark, sf_dir), "max-self-probability", 0.2)
     return spark.createDataFrame([(got.target, got.epsilon, got.achieved, got.spread, got.sample_size, got.reached)], "target string, epsilon double, achieved double, spread double, sample_size int, reached boolean")
 
 
