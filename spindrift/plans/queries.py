@@ -17,6 +17,7 @@ from spindrift.tables import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: RADIUS and SMALL are those of the SQL; queries without SQL derive the radius from epsilon and the priors.
 EPSILON, RADIUS, SMALL = 1.0, 6, 4
 TEST_KEY = bytes(range(32))
 
@@ -32,11 +33,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def mechanism(spark: SparkSession, sf_dir: str, epsilon: float = EPSILON, radius: int | None = RADIUS) -> HopMechanism:
-    import warnings
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return HopMechanism(geo.graph(spark, sf_dir), epsilon, radius)
+    return HopMechanism(geo.graph(spark, sf_dir), epsilon, radius)
 
 
 def ball_sql(radius: int, sources: str = "nodes") -> str:
@@ -313,7 +310,7 @@ def hmac_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _released(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
-    m = mechanism(spark, sf_dir)
+    m = mechanism(spark, sf_dir, radius=None)
     people = geo.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("subject"), geo.code_of(F.col("o_custkey")).alias("code"))
     return m.perturb_frame(people, "code", "subject", Key.from_bytes(TEST_KEY), on_error=policy)
 
@@ -382,11 +379,7 @@ def group_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epsilon_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = geo.graph(spark, sf_dir)
     sample = g.nodes.select("node_id", F.col("grp").alias("group"))
-    import warnings
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return _rounded_summary(measures.epsilon_table(g, sample, g.nodes.select("node_id", "area"), [0.5, 1.0, 2.0], SMALL), "epsilon")
+    return _rounded_summary(measures.epsilon_table(g, sample, g.nodes.select("node_id", "area"), [0.5, 1.0, 2.0], SMALL), "epsilon")
 
 
 ORACLES["epsilon_translation"] = " UNION ALL ".join(f"SELECT * FROM (WITH {geo.SQL}, {_summary_sql(e, SMALL, f'{e}::DOUBLE AS epsilon, ')})" for e in (0.5, 1.0, 2.0))
@@ -448,7 +441,7 @@ def attack_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def attack_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mechanism(spark, sf_dir, radius=SMALL)
+    m = mechanism(spark, sf_dir, radius=None)
     code = m.graph.nodes.where("node_id = 5").select("code").first()["code"]
     told = {"one": (measures.independent_releases(m, code, 1, 0), True), "independent": (measures.independent_releases(m, code, 8, 0), True), "keyed": (measures.keyed_releases(m, code, 8, Key.from_bytes(TEST_KEY)), False)}
     out = None
