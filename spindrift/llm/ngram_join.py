@@ -9,10 +9,10 @@ Beta(m + 1, n - m + 1), and a pair is dropped when it has a chance under TOLERAN
 threshold. The rest are verified exactly on the whole sets.
 
 Buckets are found by a count that is pre-aggregated. What buckets connect is gathered, or compared bucket by
-bucket where that is large, and cut into blocks; each pair of blocks is a cell of its own task, bounded in rows
-and shingles, so a hot group is spread and never listed pair by pair: a cell returns a link count for
-each member and a spanning star. Groups of documents that links connect are found by minimum labels
-with pointer jumping over those stars, on tables in the shared folder.
+bucket where that ships fewer rows, and cut into blocks; each pair of blocks is a cell of its own, bounded in rows
+and shingles, so a hot group is never listed pair by pair: a cell returns a link count for each member and a
+spanning star. Up to BLOCK_ROWS near copies are shipped once, n of them ceil(n / BLOCK_ROWS) times. Groups of
+documents that links connect are found by minimum labels with pointer jumping, over the roots of stars alone.
 
 Defined results: a text without words (null, empty, blank) links to nothing and is a group of its own;
 copies of one text link to each other; rows that repeat an id count as one document, whose text is the
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -37,13 +38,14 @@ from spindrift.llm.common import Bitmap, column, mix64, ship, slices, written
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 HASHES, STEP, TOLERANCE = BANDS * ROWS, 32, 1e-6
-#: Members, and shingles of all members, of a block of a bucket.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
-#: Connected representatives that are gathered; more are compared by bucket.
-GATHERED = 4096
+#: Members, and shingles of all members, of a block; a cell holds two blocks at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 20
+#: Members of a cell that are compared with all at a time, and pairs that are at a time.
+STRIP, PAIRS = 256, 1 << 14
 FILTER_BITS = 24
-#: Sets up to this count in a cell are intersected one by one; more of them by a product of incidences.
-FEW, WIDE = 12, 4096
+#: Up to so many pairs are intersected one by one; columns of incidences at a time; steps of a product for one of a merge,
+#: and steps that any merge takes.
+FEW, WIDE, PRODUCT, LOOK_UP = 12, 1024, 400, 400
 
 
 @cache
@@ -111,71 +113,100 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, set_key binary, n_shingles long, bands array<long>")
 
 
+class Overlaps:
+    """Sizes of intersections among the sets of a cell, for some of its pairs at a time."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets])
+        self._shared: tuple[np.ndarray, np.ndarray, int] | None = None
+
+    def shared(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Names that two sets or more hold, numbered, with their owners, in the order of names; how many there are."""
+        if self._shared is None:
+            _, where, n = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+            owner, twice = np.repeat(np.arange(len(self.sets)), self.sizes), n > 1
+            keep = twice[where]
+            where, owner = (np.cumsum(twice) - 1)[where[keep]], owner[keep]
+            order = np.argsort(where, kind="stable")
+            self._shared = where[order], owner[order], int(twice.sum())
+        return self._shared
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of sets a[k] and b[k]: one by one, or by a product of incidences where that takes fewer steps."""
+        if len(a) > FEW:
+            where, owner, n = self.shared()
+            rows, at = np.unique(a, return_inverse=True)
+            cols, to = np.unique(b, return_inverse=True)
+            if n * len(rows) * len(cols) < PRODUCT * (self.sizes[a] + self.sizes[b] + LOOK_UP).sum():
+                total = np.zeros((len(rows), len(cols)), np.float32)
+                for k in range(0, n, WIDE):
+                    low, high = np.searchsorted(where, [k, k + WIDE])
+                    hot = np.zeros((len(self.sets), WIDE), np.float32)
+                    hot[owner[low:high], where[low:high] - k] = 1
+                    total += hot[rows] @ hot[cols].T
+                return total[at, to].astype(np.int64)
+        return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
+
+
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (the least member that links lead to, for each member) after links a[k] to b[k] came in."""
+    while (label[a] != label[b]).any():
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        label = new[label]
+    return label
+
+
 def _cell(batch: pa.Table) -> pa.Table:
     """Links between the members of a cell: for each member the copies that it is linked with, and a spanning star.
 
     In gathered cells (band -1) pairs with a common band are looked at; in cells of a bucket those that have no
-    earlier one. In a cell of two blocks only pairs across them are looked at.
+    earlier one. In a cell of two blocks only pairs across them are looked at. Members are gone through STRIP by
+    STRIP, so that what is held at a time does not grow with the square of the cell.
     """
     ids = np.array(batch.column("rep").to_pylist(), np.int64)
     order = np.argsort(ids, kind="stable")
-    ids = ids[order]
+    ids, n = ids[order], len(ids)
     side = np.array(batch.column("side").to_pylist(), np.int64)[order]
     copies = np.array(batch.column("copies").to_pylist(), np.int64)[order]
-    band = batch.column("band")[0].as_py()
+    band, across = batch.column("band")[0].as_py(), batch.column("across")[0].as_py()
     raw = batch.column("names").to_pylist()
-    sets = [np.frombuffer(raw[k], "<u8") for k in order]
+    overlaps = Overlaps([np.frombuffer(raw[k], "<u8") for k in order])
+    size = overlaps.sizes
     values = np.array([np.frombuffer(x, "<u4") for x in batch.column("sketch").to_pylist()])[order]
-    a, b = np.triu_indices(len(ids), 1)
-    if batch.column("across")[0].as_py():
-        keep = side[a] != side[b]
-        a, b = a[keep], b[keep]
-    if band and len(a):
-        keys = band_keys(values)[:, : band if band > 0 else BANDS]
-        agree = np.zeros(len(a), bool)
-        for k in range(keys.shape[1]):
-            agree |= keys[a, k] == keys[b, k]
-        look = agree if band < 0 else ~agree
-        a, b = a[look], b[look]
-    matches = np.zeros(len(a), np.int64)
-    for k in range(0, HASHES, STEP):
-        matches += (values[a, k : k + STEP] == values[b, k : k + STEP]).sum(1)
-        may = matches >= least_matches(k + STEP)
-        a, b, matches = a[may], b[may], matches[may]
-    if len(a):
-        size = np.array([len(s) for s in sets])
-        both = common(sets, a, b)
+    keys = band_keys(values)[:, : band if band >= 0 else BANDS]
+    label, links = np.arange(n), np.zeros(n, np.int64)
+    for low in range(0, n, STRIP):
+        strip = np.arange(low, min(low + STRIP, n))
+        look = strip[:, None] < np.arange(n)[None, :]
+        if across:
+            look &= side[strip][:, None] != side[None, :]
+        first, second = np.nonzero(look)
+        found = []
+        for part in range(0, len(first), PAIRS):
+            a, b = first[part : part + PAIRS] + low, second[part : part + PAIRS]
+            if band:
+                agree = (keys[a] == keys[b]).any(1) == (band < 0)
+                a, b = a[agree], b[agree]
+            matches = np.zeros(len(a), np.int64)
+            for k in range(0, HASHES, STEP):
+                matches += (values[a, k : k + STEP] == values[b, k : k + STEP]).sum(1)
+                may = matches >= least_matches(k + STEP)
+                a, b, matches = a[may], b[may], matches[may]
+            found.append((a, b))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (strip[:0], strip[:0])
+        if not len(a):
+            continue
+        both = overlaps.of(a, b)
         linked = both >= THRESHOLD * (size[a] + size[b] - both) - 1e-9
         a, b = a[linked], b[linked]
-    links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-    label = np.arange(len(ids))
-    while True:  # the least member that links lead to
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+        links += np.bincount(a, copies[b], n).astype(np.int64) + np.bincount(b, copies[a], n).astype(np.int64)
+        label = joined(label, a, b)
     hit = links > 0
-    return pa.table({"rep": pa.array(ids[hit]), "root": pa.array(ids[label][hit]), "links": pa.array(links[hit].astype(np.int64))})
-
-
-def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets a[k] and b[k]."""
-    if len(sets) <= FEW:
-        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
-    name, where = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    total = np.zeros((len(sets), len(sets)), np.float64)
-    order = np.argsort(where, kind="stable")
-    where, owner = where[order], owner[order]
-    for k in range(0, len(name), WIDE):
-        low, high = np.searchsorted(where, [k, k + WIDE])
-        hot = np.zeros((len(sets), WIDE), np.float32)
-        hot[owner[low:high], where[low:high] - k] = 1
-        total += hot @ hot.T
-    return total[a, b].astype(np.int64)
+    return pa.table({"rep": pa.array(ids[hit]), "root": pa.array(ids[label][hit]), "links": pa.array(links[hit])})
 
 
 def _banded(keyed: DataFrame, shared: DataFrame) -> DataFrame:
@@ -192,53 +223,81 @@ def _banded(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     return keyed.select("rep", "n_shingles", "bands").mapInArrow(run, "rep long, n_shingles long, band int, bucket long")
 
 
-def _gathered(bucketed: DataFrame) -> DataFrame:
-    """band, bucket, rep, members, shingles: the members of what is compared pair by pair.
+def blocks(members: F.Column, shingles: F.Column) -> F.Column:
+    """Blocks that so many members are cut into."""
+    return F.greatest(F.ceil(members / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
 
-    Representatives that buckets connect are gathered once (band -1) when there are at most GATHERED of them;
-    the buckets of larger ones are compared bucket by bucket, as far-fetched connections may join any number.
-    """
-    stars = bucketed.join(bucketed.groupBy("bucket").agg(F.min("rep").alias("root")), "bucket").select("rep", "root")
-    reach = connected(stars).withColumnRenamed("group", "g")
-    sizes = bucketed.select("rep", "n_shingles").distinct().join(reach, "rep").groupBy("g").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
-    of = written(reach.join(sizes, "g"), "reach")
-    small = of.where(F.col("members") <= GATHERED).select(F.lit(-1).alias("band"), F.col("g").alias("bucket"), "rep", "members", "shingles")
-    large = bucketed.join(of.where(F.col("members") > GATHERED).select("rep"), "rep")
-    counted = large.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
-    return small.union(large.join(counted, "bucket").select("band", "bucket", "rep", "members", "shingles"))
 
+def _gathered(bucketed: DataFrame) -> DataFrame:
+    """band, bucket, rep, blocks: the members of what is compared pair by pair.
 
-def _cells(bucketed: DataFrame) -> DataFrame:
+    Representatives that buckets connect are gathered once (band -1), or compared bucket by bucket where that ships
+    fewer rows, as far-fetched connections may join any number.
+    """
+    sized = bucketed.groupBy("bucket").agg(F.min("rep").alias("root"), F.count("*").alias("m"), F.sum("n_shingles").alias("s")).withColumn("blocks", blocks(F.col("m"), F.col("s")))
+    sized = written(sized, "sized")
+    stars = bucketed.join(sized.select("bucket", "root"), "bucket").select("rep", "root")
+    reach = written(connected(stars).withColumnRenamed("group", "g"), "reach")
+    apart = sized.withColumnRenamed("root", "rep").join(reach, "rep").groupBy("g").agg(F.sum(F.col("m") * F.col("blocks")).alias("apart"))
+    whole = bucketed.select("rep", "n_shingles").distinct().join(reach, "rep").groupBy("g").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s")).withColumn("blocks", blocks(F.col("m"), F.col("s")))
+    of = written(reach.join(whole.join(apart, "g").select("g", "blocks", (F.col("m") * F.col("blocks") <= F.col("apart")).alias("once")), "g"), "groups")
+    gathered = of.where("once").select(F.lit(-1).alias("band"), F.col("g").alias("bucket"), "rep", "blocks")
+    others = bucketed.join(of.where("not once").select("rep"), "rep").join(sized.select("bucket", "blocks"), "bucket")
+    return gathered.union(others.select("band", "bucket", "rep", "blocks"))
+
+
+def _cells(members: DataFrame) -> DataFrame:
     """band, bucket, rep, side, cell_i, cell_j: the members of each pair of blocks."""
-    rows = bucketed.withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("band", "bucket", "rep", F.col("block").alias("side"), F.least("block", "other").alias("cell_i"), F.greatest("block", "other").alias("cell_j"))
 
 
-def connected(stars: DataFrame, rounds: int = 60) -> DataFrame:
-    """rep, group: the least id that links (rep, root) lead to, for every id of the links.
+def root_edges(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rep, root (the least of its roots) of stars (rep, root), and edges (x, y) between roots of one rep.
 
-    Each round every id takes the least label of its neighbours and then the label of that label; the labels
+    A root is the least member of its star and a member itself, so what stars connect is what these edges do:
+    they grow with the number of stars, not of their members.
+    """
+    own = written(stars.groupBy("rep").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")), "stars")
+    edges = own.where("size(roots) > 1").select(F.explode("roots").alias("x"), F.col("root").alias("y")).where("x <> y").distinct()
+    return own.select("rep", "root"), written(edges, "edges")
+
+
+def connected(stars: DataFrame) -> DataFrame:
+    """rep, group: the least id that stars (rep, root) lead to, for every rep.
+
+    Each round every root takes the least label of its neighbours and then the label of that label; the labels
     are a table in the shared folder. Ends when no label moves.
     """
-    edges = written(stars.select(F.col("rep").alias("x"), F.col("root").alias("y")).where("x <> y").distinct(), "edges")
+    own, edges = root_edges(stars)
+    if edges.isEmpty():
+        return own.withColumnRenamed("root", "group")
     both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
     labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("x").alias("near"), F.col("label").alias("far"))
         step = labels.join(near, "x").withColumn("near", F.least("near", "label")).join(jump, "near", "left")
         new = written(step.select("x", F.least("far", "near").alias("label"), (F.least("far", "near") < F.col("label")).alias("moved")), "labels")
         labels = new.select("x", "label")
-        if not new.where("moved").limit(1).count():
-            return labels.select(F.col("x").alias("rep"), F.col("label").alias("group"))
-    raise RuntimeError("labels still move")
+        if new.where("moved").isEmpty():
+            return own.join(labels.select(F.col("x").alias("root"), "label"), "root", "left").select("rep", F.coalesce("label", "root").alias("group"))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, rep_id (least doc_id with the same shingles), class_id (least doc_id that links lead to),
-    n_links (other documents at the threshold or above, copies included), a row for each doc_id."""
+@dataclass
+class Compared:
+    """marks (doc_id, set_key, ...), reps (set_key, rep, copies), cells (members of what was compared) and links (rep, root,
+    links: of each member and cell)."""
+
+    marks: DataFrame
+    reps: DataFrame
+    cells: DataFrame
+    links: DataFrame
+
+
+def compared(docs: DataFrame) -> Compared:
+    """The candidates of docs, compared."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = written(sketched(docs), "sketches")
@@ -265,11 +324,18 @@ def join(docs: DataFrame) -> DataFrame:
 
     whole = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(run, "rep long, names binary, sketch binary")
     full = cells.join(whole.join(reps.select("rep", "copies"), "rep"), "rep").withColumn("across", F.col("cell_i") != F.col("cell_j"))
-    found = written(full.groupBy("band", "bucket", "cell_i", "cell_j").applyInArrow(_cell, "rep long, root long, links long"), "links")
-    groups = connected(found.select("rep", "root"))
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(groups, "rep", "left")
-    known = reps.join(linked, "rep", "left").select("set_key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", "rep").alias("group"))
-    return marks.select("doc_id", "set_key").join(known, "set_key", "left").select(
+    links = written(full.groupBy("band", "bucket", "cell_i", "cell_j").applyInArrow(_cell, "rep long, root long, links long"), "links")
+    return Compared(marks, reps, cells, links)
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, rep_id (least doc_id with the same shingles), class_id (least doc_id that links lead to),
+    n_links (other documents at the threshold or above, copies included), a row for each doc_id."""
+    found = compared(docs)
+    groups = connected(found.links.select("rep", "root"))
+    linked = found.links.groupBy("rep").agg(F.sum("links").alias("links")).join(groups, "rep", "left")
+    known = found.reps.join(linked, "rep", "left").select("set_key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", "rep").alias("group"))
+    return found.marks.select("doc_id", "set_key").join(known, "set_key", "left").select(
         "doc_id", F.coalesce("rep", "doc_id").alias("rep_id"), F.coalesce("group", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links")
     )
 

@@ -61,22 +61,51 @@ def test_near_copies_against_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_large_connections_are_compared_by_bucket(spark, monkeypatch):
-    monkeypatch.setattr(J, "GATHERED", 3)
-    monkeypatch.setattr(J, "BLOCK_ROWS", 8)
-    rng = random.Random(6)
-    rows = []
-    for _ in range(6):
-        base = rng.choices([f"w{i}" for i in range(300)], k=rng.randint(20, 90))
-        for _ in range(rng.choice([2, 5, 40])):
-            words = list(base)
-            for _ in range(rng.randint(0, 3)):
-                words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
-            rows.append((len(rows), " ".join(words)))
+def near_copies(n, seed=6, words=120):
+    """n texts that differ from one in a word or two, each in its own way."""
+    rng = random.Random(seed)
+    base, out = rng.choices([f"w{i}" for i in range(300)], k=words), []
+    for k in range(n):
+        some = list(base)
+        for _ in range(rng.randint(1, 2)):
+            some[rng.randrange(words)] = f"x{rng.randrange(60)}"
+        out.append(" ".join([*some, f"end{k}"]))
+    return out
+
+
+def test_blocks_of_a_group_and_connections_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(J, "STRIP", 3)
+    monkeypatch.setattr(J, "PAIRS", 5)
+    long = [f"v{i}" for i in range(1300)]
+    chain = [" ".join(long[3 * k : 3 * k + 90]) for k in range(400)]  # each is near its neighbours alone
+    rows = list(enumerate(near_copies(40) + chain))
+    found = J.compared(spark.createDataFrame(rows, "doc_id long, text string"))
+    bands = {r.band for r in found.cells.select("band").distinct().collect()}
+    assert -1 in bands
+    assert len(bands) > 1
     got = {r.doc_id: (r.class_id, r.n_links) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("n", [300, 1200, 4000])
+def test_rows_grow_with_a_group_and_not_with_its_square(spark, n):
+    found = J.compared(spark.createDataFrame(list(enumerate(near_copies(n))), "doc_id long, text string"))
+    assert found.cells.count() == n
+    assert found.links.count() == n
+    own, edges = J.root_edges(found.links.select("rep", "root"))
+    assert own.count() == n
+    assert edges.count() == 0
+
+
+def test_blocks_ship_a_member_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_ROWS", 100)
+    found = J.compared(spark.createDataFrame(list(enumerate(near_copies(1000))), "doc_id long, text string"))
+    assert found.cells.count() == 10 * 1000
+    _, edges = J.root_edges(found.links.select("rep", "root"))
+    assert edges.count() < 10
+
+
 def test_the_given_table_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
@@ -113,11 +142,25 @@ def test_sketches_estimate_the_similarity():
     assert abs(same - 900 / 1100) < 0.1
 
 
-def test_intersections_by_product_and_one_by_one():
+def test_intersections_by_product_and_one_by_one(monkeypatch):
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 3000)).astype(np.uint64)) for _ in range(30)]
     a, b = np.triu_indices(30, 1)
     want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
-    assert J.common(sets, a, b).tolist() == want
-    few = [k for k in range(len(a)) if b[k] < 9]
-    assert J.common(sets[:9], a[few], b[few]).tolist() == [want[k] for k in few]
+    for product in (0, 1 << 40):
+        monkeypatch.setattr(J, "PRODUCT", product)
+        assert J.Overlaps(sets).of(a, b).tolist() == want
+        assert J.Overlaps(sets).of(a[100:], b[100:]).tolist() == want[100:]
+
+
+def test_labels_of_links_that_come_in_parts():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 500, 400), rng.integers(0, 500, 400)
+    label = np.arange(500)
+    for k in range(0, 400, 50):
+        label = J.joined(label, a[k : k + 50], b[k : k + 50])
+    want = np.arange(500)
+    for _ in range(500):
+        for x, y in zip(a, b, strict=True):
+            want[x] = want[y] = min(want[x], want[y])
+    assert label.tolist() == want.tolist()
