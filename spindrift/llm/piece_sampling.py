@@ -2,16 +2,19 @@
 
 The lattice of a word holds every piece at every place; a character without a piece of its own is a chain of
 byte pieces. The forward pass sums the weights exp(ALPHA * score) of all paths to each node, and
-the backward pass draws, from the end, each piece with its share of that sum: exactly a draw from all
-segmentations in proportion to their weight. Draws come from a counter keyed by (seed, doc_id, word,
-step), so a row's segmentation does not depend on batches, partitions or machines.
+the backward pass draws, from the end, each piece with its share of that sum: a draw from all segmentations in
+proportion to their weight, but for shares that are whole multiples of 2 ** -DRAW_BITS. Draws are integers from a
+counter keyed by (seed, doc_id, word, step) and are compared with integer thresholds; sums take a word's own edges
+alone, in one order, by IEEE additions, products and divisions of weights in single precision. So a
+row's segmentation does not depend on batches, partitions, retries or what a worker remembers.
 
 A text is encoded behind one added space; each space begins a word. A literal U+2581 is written in bytes,
 so decoding gives back any text. Lattices of words are remembered up to MEMO_NODES nodes; all words of a
 batch take their backward steps together.
 
 Defined results: a null text is encoded and decoded as the empty one (one space piece); rows with a null
-id share one key; repeated rows get one segmentation.
+id share one key; repeated rows get one segmentation; an empty table gives no rows; a text of any length is encoded
+whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,14 +36,16 @@ ALPHA, SEED = 0.5, 17
 MEMO_NODES = 2_500_000
 #: Up to this level all words of a batch take their forward pass together; longer ones go on alone.
 LEVELS = 64
+#: Bits of a draw; the other bits of 64 number the nodes that are held.
+DRAW_BITS = 36
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 class Sampler:
     """Lattices of words as one array of edges, in the order of the nodes that they enter.
 
-    Edge k enters node floor of the sum before cum[k]: cum holds the node's number plus the cumulative
-    share of its edges, so one binary search of (node + draw) finds the drawn edge.
+    cum[k] holds the number of the node that edge k enters in its upper bits, and below them the cumulative share of the
+    node's edges as an integer; the last edge has the next node's 0. One binary search of (node, draw) finds the drawn edge.
     """
 
     def __init__(self, path: str, alpha: float = ALPHA) -> None:
@@ -50,8 +55,8 @@ class Sampler:
         self.iter = words.matcher(inside, lambda i: i).iter
         self.stand_in = words.stand_in
         self.length = np.array([len(p) for p in words.pieces])
-        self.weight = alpha * np.array(words.scores)
-        self.fallback = alpha * (words.lowest - UNKNOWN_PENALTY)
+        self.weight = np.exp(alpha * np.array(words.scores)).astype(np.float32).astype(float)
+        self.fallback = float(np.float32(math.exp(alpha * (words.lowest - UNKNOWN_PENALTY))))
         self.byte = np.array([words.bytes[b] for b in range(256)])
         self.raw = [b""] * len(words.pieces)
         for i in words.normal:
@@ -64,7 +69,7 @@ class Sampler:
         self.place: dict[str, int] = {}
         self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.nodes = 0
-        self.cum, self.source, self.piece = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.uint16)
+        self.cum, self.source, self.piece = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint16)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
         """Of words that are put side by side: target, source, piece, weight and level of each edge; the number of nodes.
@@ -87,7 +92,7 @@ class Sampler:
             raw = self.byte[list(plain[k].encode("utf-8", "surrogatepass"))]
             at = k + of[k]
             for b in raw[:-1]:
-                more.append((nodes, at, b, 0.0, -1))
+                more.append((nodes, at, b, 1.0, -1))
                 at, nodes = nodes, nodes + 1
             more.append((k + of[k] + 1, at, raw[-1], self.fallback, depth[k]))
         if more:
@@ -111,7 +116,7 @@ class Sampler:
 
     def learn(self, new: list[str]) -> None:
         target, source, piece, weight, level, nodes = self.edges(new)
-        total = np.zeros(nodes)  # the logarithm of the sum of all paths to each node
+        part, scale = np.ones(nodes), np.zeros(nodes, np.int32)  # the sum of all paths to each node is part * 2 ** scale
         share = np.ones(len(target))
         chained = level < 0
         first = np.flatnonzero(np.diff(target, prepend=-1))
@@ -131,26 +136,33 @@ class Sampler:
             sizes = count[groups]
             inner = np.cumsum(sizes) - sizes
             at = np.repeat(first[groups] - inner, sizes) + np.arange(int(sizes.sum()))
-            x = total[source_sum[at]] + weight[at]
-            high_x = np.maximum.reduceat(x, inner)
-            e = np.exp(x - np.repeat(high_x, sizes))
-            sums = np.add.reduceat(e, inner)
-            share[at] = e / np.repeat(sums, sizes)
-            total[target[first[groups]]] = high_x + np.log(sums)
+            lift = scale[source_sum[at]]
+            most = np.maximum.reduceat(lift, inner)
+            x = np.ldexp(part[source_sum[at]] * weight[at], lift - np.repeat(most, sizes))
+            sums = np.add.reduceat(x, inner)
+            share[at] = x / np.repeat(sums, sizes)
+            ends = target[first[groups]]
+            part[ends], raised = np.frexp(sums)
+            scale[ends] = most + raised
         for g in by_level[np.searchsorted(heights, LEVELS + 1) :].tolist():  # the ends of very long words
             at = slice(first[g], first[g] + count[g])
-            x = total[source_sum[at]] + weight[at]
-            e = np.exp(x - x.max())
-            share[at] = e / e.sum()
-            total[target[first[g]]] = x.max() + math.log(e.sum())
-        run = np.cumsum(share)
-        run -= np.repeat(run[first] - share[first], count)
-        run[first + count - 1] = 1.0
+            lift = scale[source_sum[at]]
+            x = np.ldexp(part[source_sum[at]] * weight[at], lift - lift.max())
+            total = np.add.reduceat(x, [0])[0]
+            share[at] = x / total
+            part[target[first[g]]], raised = np.frexp(total)
+            scale[target[first[g]]] = lift.max() + raised
+        run = np.cumsum(np.rint(share * (1 << DRAW_BITS)).astype(np.int64))  # integers: the same wherever the word stands
+        run -= np.repeat(run[first] - np.rint(share[first] * (1 << DRAW_BITS)).astype(np.int64), count)
+        run = np.minimum(run, 1 << DRAW_BITS)
+        run[first + count - 1] = 1 << DRAW_BITS
         sizes = np.array([len(w) + 2 for w in new])
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         end = self.nodes + np.cumsum(sizes)
         self.first, self.last = np.concatenate([self.first, end - sizes]), np.concatenate([self.last, end - 1])
-        self.cum = np.concatenate([self.cum, target + run + self.nodes])
+        if self.nodes + nodes >= 1 << (64 - DRAW_BITS):
+            raise ValueError("the words of a batch have too many nodes")
+        self.cum = np.concatenate([self.cum, ((target + self.nodes).astype(np.uint64) << np.uint64(DRAW_BITS)) + run.astype(np.uint64)])
         self.source = np.concatenate([self.source, (source + self.nodes).astype(np.int32)])
         self.piece = np.concatenate([self.piece, piece.astype(np.uint16)])
         self.nodes += nodes
@@ -168,8 +180,8 @@ class Sampler:
         active, drawn = np.argsort(node, kind="stable"), []  # searches near each other are quick
         step = 0
         while len(active):
-            draw = (mix64(key[active] + np.array([step], np.uint64) * _ODD) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.cum, node[active] + draw, side="right")
+            draw = mix64(key[active] + np.array([step], np.uint64) * _ODD) >> np.uint64(64 - DRAW_BITS)
+            edge = np.searchsorted(self.cum, (node[active].astype(np.uint64) << np.uint64(DRAW_BITS)) + draw, side="right")
             drawn.append((active, self.piece[edge]))
             node[active] = self.source[edge]
             step += 1
