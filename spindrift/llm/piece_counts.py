@@ -5,9 +5,12 @@ its number of pieces. The rules of ties are those of the public unigram tokenize
 the path whose last piece begins first (the longer piece) wins; scores add up in double precision from the
 left; a character without a piece of its own is unknown, scores UNKNOWN_PENALTY below the lowest piece
 and counts as its UTF-8 bytes (byte fallback). White space is treated as by the metaspace rule:
-a space begins a word, and the text begins with one. Words are counted once and remembered (MEMO at most).
+a space begins a word, and the text begins with one. Words of up to LONG characters are counted once and remembered
+(MEMO at most), so what is held has a bound in bytes too; the lattice of a word keeps only as many ends as the longest
+piece is long.
 
-Defined results: a null or empty text has 0 tokens; every row has a result, null ids and repeated rows too.
+Defined results: a null or empty text has 0 tokens; every row has a result, null ids and repeated rows too; an
+empty table gives no rows; a text, and a word in it, may be of any length; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import types as T
 from spindrift.llm.common import appended, column, held_by_worker, ship, slices
 from spindrift.llm.pieces import SPACE, UNKNOWN_PENALTY, vocabulary
 
-MEMO = 400_000
+MEMO, LONG = 400_000, 64
 
 
 class Counter(dict):
@@ -31,33 +34,38 @@ class Counter(dict):
         words = vocabulary(path)
         self.iter = words.matcher().iter
         self.unknown = min(words.scores) - UNKNOWN_PENALTY
+        self.longest = max(map(len, words.pieces))
 
     def __missing__(self, word: str) -> int:
-        text = SPACE + word
-        n = len(text)
-        ending: list[list | None] = [None] * n
-        for end, match in self.iter(text):
-            if ending[end] is None:
-                ending[end] = [match]
-            else:
-                ending[end].append(match)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(n):
+        count = self.pieces(SPACE + word)
+        if len(word) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = count
+        return count
+
+    def pieces(self, text: str) -> int:
+        ring = self.longest + 1  # scores and counts of the last ends, by their place modulo ring
+        score, count = [0.0] * ring, [0] * ring
+        matches = self.iter(text)
+        at, match = next(matches, (-1, None))
+        for end in range(len(text)):
+            ending = []
+            while at == end:
+                ending.append(match)
+                at, match = next(matches, (-1, None))
             best, pieces, single = None, 0, False
-            for length, _, s in sorted(ending[end], reverse=True) if ending[end] else ():
+            for length, _, s in sorted(ending, reverse=True):
                 single |= length == 1
-                at = score[end + 1 - length] + s
-                if best is None or at > best:
-                    best, pieces = at, count[end + 1 - length] + 1
+                here = score[(end + 1 - length) % ring] + s
+                if best is None or here > best:
+                    best, pieces = here, count[(end + 1 - length) % ring] + 1
             if not single:
-                at = score[end] + self.unknown
-                if best is None or at > best:
-                    best, pieces = at, count[end] + len(text[end].encode("utf-8", "surrogatepass"))
-            score[end + 1], count[end + 1] = best, pieces
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = count[n]
-        return count[n]
+                here = score[end % ring] + self.unknown
+                if best is None or here > best:
+                    best, pieces = here, count[end % ring] + len(text[end].encode("utf-8", "surrogatepass"))
+            score[(end + 1) % ring], count[(end + 1) % ring] = best, pieces
+        return count[len(text) % ring]
 
     def text(self, text: str | None) -> int:
         if not text:
