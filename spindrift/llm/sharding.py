@@ -5,9 +5,10 @@ from its name. Shards take turns (as many as their weights) and claim the next f
 permutation until all slots are taken. A row goes to the shard of the slot that its key's hash names: one
 lookup, in a table whose size is fixed, so it is broadcast. When a shard goes or comes, few slots change hands.
 
-Keys may be several columns; a hot key can be spread over `spread` slots by a second hash of other
-columns. Defined results: null keys hash like any value (all null keys go to one shard); repeated rows
-go to one shard; extra columns are ignored by `assign`; an empty table gives no rows.
+Keys may be several columns; a hot key can be spread over `copies` slots by a second hash of the columns `spread`.
+Defined results: null keys hash like any value (all null keys go to one shard); repeated rows go to one shard; texts
+of any length are never looked at unless they are keys; an empty table gives no rows. Extra columns may have any name:
+the ones that are kept must not have a name that the result gives to slot or shard (names can be chosen), which raises.
 """
 
 from __future__ import annotations
@@ -60,14 +61,18 @@ def slot_of(keys: list[str], spread: list[str] | None = None, copies: int = 1, s
     return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
 
-def assign(df: DataFrame, shards: dict[str, int], keys: list[str], keep: list[str], spread: list[str] | None = None, copies: int = 1) -> DataFrame:
-    """The columns `keep` of every row, its slot and its shard."""
-    placed = df.select(*keep, slot_of(keys, spread, copies).alias("slot"))
-    return placed.join(F.broadcast(lookup(df.sparkSession, shards)), "slot").select(*keep, "slot", "shard")
+def assign(df: DataFrame, shards: dict[str, int], keys: list[str], keep: list[str], spread: list[str] | None = None, copies: int = 1, names: tuple[str, str] = ("slot", "shard")) -> DataFrame:
+    """The columns `keep` of every row, its slot and its shard, which `names` names."""
+    clash = {n.lower() for n in names} & {c.lower() for c in keep}
+    if clash:
+        raise ValueError(f"kept columns have names of the result: {', '.join(sorted(clash))}")
+    # What is kept goes along in one struct, so that no name of df can meet a name of the table.
+    placed = df.select(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep))).alias("row"), slot_of(keys, spread, copies).alias("slot"))
+    found = placed.join(F.broadcast(lookup(df.sparkSession, shards)), "slot")
+    return found.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(keep)), F.col("slot").alias(names[0]), F.col("shard").alias(names[1]))
 
 
-def write(df: DataFrame, shards: dict[str, int], keys: list[str], path: str) -> None:
-    """All columns of df in a folder for each shard, named shard=..."""
-    placed = df.withColumn("__slot", slot_of(keys))
-    table = lookup(df.sparkSession, shards).withColumnRenamed("slot", "__slot")
-    placed.join(F.broadcast(table), "__slot").drop("__slot").write.partitionBy("shard").parquet(path)
+def write(df: DataFrame, shards: dict[str, int], keys: list[str], path: str, folder: str = "shard") -> None:
+    """All columns of df in a folder for each shard, named `folder`=...; no column of df may have that name."""
+    slot = next(n for n in (f"slot{k}" for k in range(len(df.columns) + 1)) if n not in (c.lower() for c in df.columns) and n != folder)
+    assign(df, shards, keys, df.columns, names=(slot, folder)).drop(slot).write.partitionBy(folder).parquet(path)
