@@ -28,7 +28,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded, frequencies = token_output.encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), partitions(spark))
+    folder = token_output.encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), partitions(spark))
+    coded, frequencies = token_output.opened(spark, folder)
     starts = F.broadcast(token_output.part_starts(coded))  # a row for each range partition
     read = token_output.digests(coded, frequencies).join(starts, "part")
     return read.select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

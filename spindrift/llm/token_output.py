@@ -2,8 +2,9 @@
 
 Every text is tokenised once; the counts of all ids of all documents make one frequency table that all
 blocks share. Documents are laid out in ascending doc_id order (null ids first, repeated ids by text): range
-partitions hold ascending id ranges and frames ascend within them. A frame holds whole documents and is a
-self-contained binary record:
+partitions hold ascending id ranges and frames ascend within them. The output is a folder of two Parquet tables:
+`frequencies` (id, frequency: the shared table) and `frames`; any later session reads it with `opened`. A frame holds
+whole documents and is a binary record:
 
     magic "RNS1", u32 docs, u64 first token's place in the partition, u32 crc32 of the table, u32 blocks,
     per document: i64 doc_id, u8 null flag, u32 tokens
@@ -12,28 +13,32 @@ self-contained binary record:
     u32 crc32 of all before
 
 Blocks are independent: BLOCK tokens are dealt to LANES interleaved coders whose states stand in the
-checkpoint, so any block of any frame can be decoded alone and in parallel. Frames are rows of a Parquet
-table, because Python workers cannot open files of a store that only Spark reaches; `frame_bytes` of a
-row is the whole file format.
+checkpoint, so any block of any frame can be decoded alone (`block`) and in parallel, and a stretch of tokens takes only
+the blocks that hold it (`stretch`). Frames are rows of a Parquet table, because Python workers cannot open files of a
+store that only Spark reaches; `frame_bytes` of a row is the whole file format.
 
 Defined results: a null or empty text is the end id alone; special tokens' strings are ordinary text;
-unknown code points are bytes to the tokenizer; a damaged frame raises ValueError.
+unknown code points are bytes to the tokenizer; a damaged frame raises ValueError; a text of any length is one document
+of one frame; repeated ids are documents of their own; an empty table gives empty tables; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import struct
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import column, held_by_worker, mix64, ship, slices, written
+from spindrift.llm.common import column, held_by_worker, mix64, shared_folder, ship, slices, written
 
 END = 0
 LANES, BLOCK, FRAME = 2048, 1 << 19, 1 << 20
@@ -221,19 +226,31 @@ def token_counts(tokens: DataFrame) -> dict[int, int]:
 class Table:
     """Frequencies of at least 1 for every id that occurs, adding up to 2 ** BITS."""
 
-    def __init__(self, counts: dict[int, int]) -> None:
-        ids = np.array(sorted(counts), np.int64)
-        n = np.array([counts[i] for i in ids], np.float64)
+    def __init__(self, frequencies: dict[int, int]) -> None:
+        if frequencies and sum(frequencies.values()) != 1 << BITS:
+            raise ValueError("frequencies do not add up")
         self.freq = np.zeros(1 << 16, np.uint64)
-        if len(ids):
-            room = (1 << BITS) - len(ids)
-            share = np.floor(n / n.sum() * room).astype(np.int64)
-            share[np.argmax(n)] += room - share.sum()
-            self.freq[ids] = (share + 1).astype(np.uint64)
+        self.freq[list(frequencies)] = list(frequencies.values())
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
         self.crc = zlib.crc32(self.freq.astype("<u4").tobytes())
         self.symbol = np.repeat(np.arange(1 << 16, dtype=np.uint16), self.freq.astype(np.int64))
 
+    @staticmethod
+    def of(counts: dict[int, int]) -> Table:
+        ids = np.array(sorted(counts), np.int64)
+        if not len(ids):
+            return Table({})
+        n = np.array([counts[i] for i in ids], np.float64)
+        room = (1 << BITS) - len(ids)
+        share = np.floor(n / n.sum() * room).astype(np.int64)
+        share[np.argmax(n)] += room - share.sum()
+        return Table(dict(zip(ids.tolist(), (share + 1).tolist(), strict=True)))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """id, frequency of the ids that occur."""
+        ids = np.flatnonzero(self.freq)
+        return spark.createDataFrame(list(zip(ids.tolist(), self.freq[ids].astype(np.int64).tolist(), strict=True)), "id int, frequency int")
+
 
 def coded(ids: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
     """States and u32 words of one block; token k is coded by lane k % LANES, last rows first."""
@@ -283,28 +300,65 @@ def frame(docs: list[tuple[int | None, bytes]], first: int, table: Table) -> byt
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def unframed(raw: bytes, table: Table) -> tuple[int, list[tuple[int | None, np.ndarray]]]:
-    """The place of the frame's first token in its partition, and its documents."""
-    if raw[:4] != MAGIC or struct.unpack("<I", raw[-4:])[0] != zlib.crc32(raw[:-4]):
-        raise ValueError("not a whole frame")
+@dataclass
+class Heads:
+    """The place of a frame's first token in its partition; id (or None) and tokens of its documents; of its blocks, the
+    tokens, words, checksums, states, and where their words begin."""
+
+    first: int
+    docs: list[tuple[int | None, int]]
+    blocks: list[tuple[int, int, int, np.ndarray, int]]
+
+
+def heads(raw: bytes, table: Table) -> Heads:
+    """What stands before the words of a frame."""
+    if raw[:4] != MAGIC or len(raw) < 28:
+        raise ValueError("not a frame")
     n_docs, first, crc, n_blocks = struct.unpack_from("<IQII", raw, 4)
     if crc != table.crc:
         raise ValueError("the frame was coded with another table")
-    at, docs, heads, parts = 24, [], [], []
-    for _ in range(n_docs):
-        docs.append(struct.unpack_from("<qBI", raw, at))
-        at += 13
+    at, each = 24 + 13 * n_docs, 12 + 8 * LANES
+    begin = at + each * n_blocks
+    if len(raw) < begin + 4:
+        raise ValueError("not a whole frame")
+    docs = [(None if null else d, n) for d, null, n in struct.iter_unpack("<qBI", raw[24:at])]
+    blocks = []
     for _ in range(n_blocks):
-        heads.append((*struct.unpack_from("<III", raw, at), np.frombuffer(raw, "<u8", LANES, at + 12)))
-        at += 12 + 8 * LANES
-    for n, words, check, state in heads:
-        if zlib.crc32(raw[at : at + 4 * words]) != check:
-            raise ValueError("a block's checksum differs")
-        parts.append(decoded(n, state.astype(np.uint64), np.frombuffer(raw, "<u4", words, at), table))
-        at += 4 * words
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
-    cut = np.cumsum([0, *(n for _, _, n in docs)])
-    return first, [(None if null else d, ids[a:b]) for (d, null, _), a, b in zip(docs, cut, cut[1:], strict=False)]
+        n, words, check = struct.unpack_from("<III", raw, at)
+        blocks.append((n, words, check, np.frombuffer(raw, "<u8", LANES, at + 12), begin))
+        at, begin = at + each, begin + 4 * words
+    if len(raw) != begin + 4:
+        raise ValueError("not a whole frame")
+    return Heads(first, docs, blocks)
+
+
+def block(raw: bytes, k: int, table: Table, of: Heads | None = None) -> np.ndarray:
+    """The ids of block k, from its checkpoint and words alone."""
+    n, words, check, state, at = (of or heads(raw, table)).blocks[k]
+    if zlib.crc32(raw[at : at + 4 * words]) != check:
+        raise ValueError("a block's checksum differs")
+    return decoded(n, state.astype(np.uint64), np.frombuffer(raw, "<u4", words, at), table)
+
+
+def stretch(raw: bytes, low: int, high: int, table: Table) -> np.ndarray:
+    """Ids low to high of a frame, decoding only the blocks that hold them."""
+    of = heads(raw, table)
+    out, at = [np.zeros(0, np.uint16)], 0
+    for k, (n, *_) in enumerate(of.blocks):
+        if at < high and at + n > low:
+            out.append(block(raw, k, table, of)[max(low - at, 0) : high - at])
+        at += n
+    return np.concatenate(out)
+
+
+def unframed(raw: bytes, table: Table) -> tuple[int, list[tuple[int | None, np.ndarray]]]:
+    """The place of the frame's first token in its partition, and its documents."""
+    of = heads(raw, table)
+    if struct.unpack("<I", raw[-4:])[0] != zlib.crc32(raw[:-4]):
+        raise ValueError("the frame's checksum differs")
+    ids = np.concatenate([np.zeros(0, np.uint16), *(block(raw, k, table, of) for k in range(len(of.blocks)))])
+    cut = np.cumsum([0, *(n for _, n in of.docs)])
+    return of.first, [(d, ids[a:b]) for (d, _), a, b in zip(of.docs, cut, cut[1:], strict=False)]
 
 
 def frames(tokens: DataFrame, table: Table) -> DataFrame:
@@ -337,11 +391,21 @@ def frames(tokens: DataFrame, table: Table) -> DataFrame:
     return tokens.mapInArrow(run, "part int, first_token long, n_tokens long, frame_bytes binary")
 
 
-def encode(docs: DataFrame, path: str, partitions: int) -> tuple[DataFrame, Table]:
-    """The coded frames of all documents, written to the shared folder, and their shared table."""
+def encode(docs: DataFrame, path: str, partitions: int, folder: str | None = None) -> str:
+    """The folder with the coded frames of all documents and their shared table; in the shared folder unless one is named."""
+    folder = folder or f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     tokens = written(tokenised(docs, path, partitions), "tokens")
-    table = Table(token_counts(tokens))
-    return written(frames(tokens, table), "frames"), table
+    table = Table.of(token_counts(tokens))
+    table.rows(docs.sparkSession).coalesce(1).write.parquet(f"{folder}/frequencies")
+    frames(tokens, table).write.parquet(f"{folder}/frames")
+    return folder
+
+
+def opened(spark: SparkSession, folder: str) -> tuple[DataFrame, Table]:
+    """The frames of a folder and the table that its files hold, of as many rows as the vocabulary has at most."""
+    ship(spark)
+    rows = spark.read.schema("id int, frequency int").parquet(f"{folder}/frequencies").collect()
+    return spark.read.schema("part int, first_token long, n_tokens long, frame_bytes binary").parquet(f"{folder}/frames"), Table({r["id"]: r["frequency"] for r in rows})
 
 
 def _read(coded_frames: DataFrame, table: Table, names: dict[str, pa.DataType], of: Callable[[np.ndarray], tuple]) -> DataFrame:
