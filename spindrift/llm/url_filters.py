@@ -6,11 +6,16 @@ host edges from hosts with allowed pages, and distrust against the edges from ho
 pages (who links to blocked hosts is suspect). A host is blocked when its distrust is over THRESHOLD of both.
 
 All steps are DataFrame operations. Edges are counted per (from, to) before ranks move, so a hot host is
-a row for each neighbour; ranks are tables in the shared folder every CUT rounds.
+a row for each neighbour; ranks are tables in the shared folder every CUT rounds. Rounds go on until, over CUT of
+them, no rank of a host moved by more than SETTLED of itself: hosts far from any seed are reached however many hops that
+takes. What hosts without edges out hold is lost; giving it back to the seeds would raise all ranks of a kind alike.
+A host is judged by its distrust as a part of its trust and distrust, so neither the number of pages nor
+small ranks change verdicts.
 
 Defined results: a null URL or one without `://` has empty host and path, fits no rule and is allowed;
 without seeds or links trust and distrust are 0 and the host is allowed; repeated page ids are
-judged one by one; null html has no links; extra columns are ignored.
+judged one by one; null html has no links; html of any length is read whole; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +25,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import written
+from spindrift.llm.common import removed, written
 
-DAMPING, ROUNDS, CUT, THRESHOLD = 0.85, 12, 4, 0.5
+DAMPING, CUT, THRESHOLD = 0.85, 4, 0.5
+#: Ranks that move by no more than this part of themselves in CUT rounds are settled; verdicts look at so many places.
+SETTLED, PLACES = 1e-6, 4
+#: Rounds of the SQL, which cannot tell when to end: 0.85 ** 64 of the weight, 3e-5, has not settled.
+SQL_ROUNDS = 64
 
 
 @dataclass(frozen=True)
@@ -73,17 +82,23 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", F.coalesce(far, near).alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagated(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """kind, host, rank: personalised PageRank of each kind, from seeds (kind, host, weight) along
-    edges (kind, src, dst, share). What hosts without edges out hold is lost."""
+    edges (kind, src, dst, share), until it has settled."""
     begin = seeds.select("kind", "host", (F.col("weight") * (1 - DAMPING)).alias("rank"))
-    ranks = seeds.select("kind", F.col("host").alias("src"), F.col("weight").alias("rank"))
-    for k in range(1, rounds + 1):
-        moved = edges.join(ranks, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
-        ranks = moved.union(begin).groupBy("kind", "host").agg(F.sum("rank").alias("rank")).withColumnRenamed("host", "src")
-        if k % CUT == 0:
-            ranks = written(ranks, "ranks")
-    return ranks.withColumnRenamed("src", "host")
+    old = seeds.select("kind", "host", F.col("weight").alias("rank"))
+    while True:
+        ranks = old
+        for _ in range(CUT):
+            moved = edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
+            ranks = moved.union(begin).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        ranks = written(ranks, "ranks")
+        both = ranks.join(old.withColumnRenamed("rank", "was"), ["kind", "host"], "left")
+        if both.where(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))) > F.col("rank") * SETTLED).isEmpty():
+            return ranks
+        if hasattr(old, "_written"):
+            removed(old)
+        old = ranks
 
 
 def _shares(edges: DataFrame, kind: str, begin: str, end: str) -> DataFrame:
@@ -105,15 +120,15 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     ranks = propagated(seeds[0].union(seeds[1]), shares)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     scored = written(ranks.groupBy("host").agg(of("trust"), of("distrust")), "scored")
-    # Rounded, so that equal sums added up in another order stay equal.
-    bad = F.round(F.col("distrust") - THRESHOLD * (F.col("trust") + F.col("distrust")), 12) > 0
+    # Rounded, so that equal sums added up in another order stay equal. Null, without ranks, is not bad.
+    bad = F.round(F.col("distrust") / F.nullif(F.col("trust") + F.col("distrust"), F.lit(0.0)), PLACES) > THRESHOLD
     return known.drop("html").join(scored, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
-    """DuckDB SQL for the result without trust and distrust."""
+    """DuckDB SQL for the result without trust and distrust: the same where ranks settle within SQL_ROUNDS rounds."""
     ordered = sorted(rules, key=lambda r: -len(r.name))
     fit = lambda r: f"((host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}'))"
     case = lambda f: "CASE " + " ".join(f"WHEN {fit(r)} THEN '{f(r)}'" for r in ordered) + " END"
@@ -121,7 +136,7 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     rounds = "".join(
         f""", r{k} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT e.kind, e.dst AS host, r.rank * e.share * {DAMPING} AS rank FROM edges e JOIN r{k - 1} r ON e.kind = r.kind AND e.src = r.host
         UNION ALL SELECT kind, host, weight * (1 - {DAMPING}) FROM seeds) GROUP BY kind, host)"""
-        for k in range(1, ROUNDS + 1)
+        for k in range(1, SQL_ROUNDS + 1)
     )
     return f"""
     WITH parted AS (SELECT page_id, {host("url")} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, html FROM pages),
@@ -135,6 +150,6 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     counted AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM links WHERE dst <> '' GROUP BY src, dst),
     edges AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM counted UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM counted),
     r0 AS (SELECT kind, host, weight AS rank FROM seeds){rounds},
-    scored AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM r{ROUNDS} GROUP BY host)
-    SELECT page_id, k.host AS host, path, rule, coalesce(by_rule, CASE WHEN round(distrust - {THRESHOLD} * (trust + distrust), 12) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+    scored AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM r{SQL_ROUNDS} GROUP BY host)
+    SELECT page_id, k.host AS host, path, rule, coalesce(by_rule, CASE WHEN round(distrust / nullif(trust + distrust, 0), {PLACES}) > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
     FROM known k LEFT JOIN scored s ON k.host = s.host"""
