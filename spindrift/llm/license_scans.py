@@ -1,7 +1,8 @@
 """License scans: ordered signature rules over whole texts.
 
 A text is lower-cased (A-Z) and cut into words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; rules are regular expressions over
-the words with single spaces between. A rule runs only where its keyword phrase stands in the text.
+the words with single spaces between, hundreds of them, written by hand (`license_signatures`). One expression tells
+which texts hold any keyword phrase, and a rule runs only where its own one stands.
 Every find is an interval of words with its rule's tier (3: a grant or an identifier, 2: a named version,
 1: a mention). A find is suppressed when an interval of its tier or a higher one contains it; of equal
 intervals the higher tier stays, then the rule that comes first. Labels of the rest are the result.
@@ -10,7 +11,7 @@ The main path is DataFrame functions alone. A row carries its words only if the
 once for each keyword found; finds of a row meet in windows over that row.
 
 Defined results: a null or empty text has no words and no labels; repeated rows and null ids are judged row by
-row; extra columns are ignored.
+row; a text of any length is scanned whole; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,100 +20,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from spindrift.llm.license_signatures import SIGNATURES
+
 #: Fixed values of the base rule: phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 CONFIDENCE = {1: 0.5, 2: 0.8, 3: 0.95}
 
-#: Families written by hand: label, keyword phrase, expression for the name, identifier in words (or None).
-FAMILIES = (
-    ("mit", "mit", "(?:the )?mit (?:license|licence|lizenz|licencia)", "mit"),
-    ("mit-0", "mit no attribution", "mit no attribution(?: license)?", "mit 0"),
-    ("apache-1.1", "apache", "apache (?:software )?license (?:version )?1 1", "apache 1 1"),
-    ("apache-2.0", "apache", "apache (?:software )?license (?:version |v)?2(?: 0)?", "apache 2 0"),
-    ("gpl-2.0", "general public license", "(?:gnu )?general public license (?:version |v)?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", "general public license", "(?:gnu )?general public license (?:version |v)?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("gpl-2.0", "gpl", "(?:gnu )?gpl ?(?:version |v)?2(?: 0)?", None),
-    ("gpl-3.0", "gpl", "(?:gnu )?gpl ?(?:version |v)?3(?: 0)?", None),
-    ("lgpl-2.1", "lesser general public license", "(?:gnu )?lesser general public license (?:version |v)?2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "lesser general public license", "(?:gnu )?lesser general public license (?:version |v)?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("agpl-3.0", "affero", "(?:gnu )?affero general public license(?: version 3(?: 0)?)?", "agpl 3 0(?: only| or later)?"),
-    ("gfdl", "free documentation license", "(?:gnu )?free documentation license(?: version 1 [123])?", "gfdl 1 [123]"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: license)?", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)(?: license)?", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)(?: license)?", "bsd 4 clause"),
-    ("isc", "isc license", "isc license", "isc"),
-    ("mpl-1.1", "mozilla public license", "mozilla public license (?:version |v)?1 1", "mpl 1 1"),
-    ("mpl-2.0", "mozilla public license", "mozilla public license (?:version |v)?2(?: 0)?", "mpl 2 0"),
-    ("epl-1.0", "eclipse public license", "eclipse public license (?:version |v)?1(?: 0)?", "epl 1 0"),
-    ("epl-2.0", "eclipse public license", "eclipse public license (?:version |v)?2(?: 0)?", "epl 2 0"),
-    ("eupl-1.2", "european union public licence", "european union public licence(?: version 1 2| v 1 2)?", "eupl 1 2"),
-    ("cddl-1.0", "common development and distribution license", "common development and distribution license(?: version 1 0)?", "cddl 1 0"),
-    ("artistic-2.0", "artistic license", "artistic license (?:version )?2(?: 0)?", "artistic 2 0"),
-    ("bsl-1.0", "boost software license", "boost software license(?: version 1 0)?", "bsl 1 0"),
-    ("zlib", "zlib", "zlib (?:libpng )?license", "zlib"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("ofl-1.1", "open font license", "(?:sil )?open font license(?: version 1 1)?", "ofl 1 1"),
-    ("odbl-1.0", "open database license", "open database license(?: v1 0| version 1 0)?", "odbl 1 0"),
-    ("odc-by-1.0", "open data commons attribution", "open data commons attribution license(?: v1 0)?", "odc by 1 0"),
-    ("pddl-1.0", "public domain dedication and license", "public domain dedication and license", "pddl 1 0"),
-    ("postgresql", "postgresql license", "postgresql license", "postgresql"),
-    ("python-2.0", "python software foundation license", "python software foundation license(?: version 2)?", "python 2 0"),
-    ("ms-pl", "microsoft public license", "microsoft public license", "ms pl"),
-    ("ms-rl", "microsoft reciprocal license", "microsoft reciprocal license", "ms rl"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    ("cc0-1.0", "creative commons zero", "creative commons zero(?: v1 0)?(?: universal)?", None),
-    ("cc-pdm", "public domain mark", "public domain mark(?: 1 0)?", "cc pdm 1 0"),
-    ("ogl-uk-3.0", "open government licence", "open government licence(?: v3 0)?", "ogl uk 3 0"),
-    ("openrail", "openrail", "(?:creativeml |bigscience |bigcode )?openrail(?: m)?(?: license)?", "openrail"),
-)
-#: Creative Commons: clauses, in words and as in its long names, by version.
-CLAUSES = (("by", "attribution"), ("by sa", "attribution share ?alike"), ("by nd", "attribution no ?deriv(?:s|atives|ative works)"), ("by nc", "attribution non ?commercial"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc nd", "attribution non ?commercial no ?deriv(?:s|atives|ative works)"))
-CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Signatures that stand alone: label, keyword phrase, expression, tier.
-SINGLE = (
-    ("all-rights-reserved", "all rights reserved", "all rights reserved", 1),
-    ("copyright", "copyright", "copyright (?:c )?[12][0-9]{3}(?: [12][0-9]{3})?(?: by)?", 1),
-    ("public-domain", "public domain", "(?:is|are|dedicated to|placed in|released into) (?:in )?the public domain", 3),
-    ("proprietary", "proprietary", "(?:proprietary and confidential|proprietary license)", 3),
-    ("permission-notice", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", 3),
-    ("redistribution-notice", "redistribution and use in source", "redistribution and use in source and binary forms", 3),
-    ("as-is", "without warranty", "provided as is without warranty of any kind", 1),
-    ("mit", "mit", "mit license", 1),
-    ("apache", "apache", "apache license", 1),
-    ("gpl", "general public license", "(?:gnu )?general public license", 1),
-    ("lgpl", "lesser general public license", "(?:gnu )?lesser general public license", 1),
-    ("mpl", "mozilla public license", "mozilla public license", 1),
-    ("epl", "eclipse public license", "eclipse public license", 1),
-    ("cc", "creative commons", "creative commons(?: license)?", 1),
-)
-GRANTS = (
-    "(?:is |are )?licen[sc]ed under(?: the)?(?: terms of)?(?: the)?",
-    "(?:is |are )?released under(?: the)?(?: terms of)?(?: the)?",
-    "(?:is |are )?(?:distributed|published|available|made available|provided) under(?: the)?(?: terms of)?(?: the)?",
-    "subject to(?: the)?(?: terms of)?(?: the)?",
-)
-
 
 def rules() -> list[tuple[int, str, str, int, str]]:
-    """Place, label, keyword phrase, tier and expression of every rule, in order."""
-    named = [(label, key, name, ident, 2) for label, key, name, ident in FAMILIES]
-    for clause, long in CLAUSES:
-        for version in CC_VERSIONS:
-            label = f"cc-{clause} {version}".replace(" ", "-").replace(f"-{version.replace(' ', '-')}", f"-{version.replace(' ', '.')}")
-            named.append((label, f"cc {clause} {version}", f"cc {clause} {version}", f"cc {clause} {version}", 2))
-            named.append((label, "creative commons", f"creative commons {long} (?:license )?(?:version )?{version}(?: international| unported| generic)?(?: license)?", None, 2))
-        named.append((f"cc-{clause}".replace(" ", "-"), f"cc {clause}", f"cc {clause}", None, 1))
-        named.append((f"cc-{clause}".replace(" ", "-"), "creative commons", f"creative commons {long}(?: license)?", None, 1))
-    out = []
-    for label, key, name, ident, tier in named:
-        out += [(label, key, 3, f"{grant} {name}") for grant in GRANTS]
-        out.append((label, key, tier, name))
-        if ident:
-            out.append((label, "spdx", 3, f"spdx license identifier {ident}"))
-    out += [(label, key, tier, name) for label, key, name, tier in SINGLE]
-    # A find takes the space before its first word, and ends before a space.
-    return [(k, label, f" {key}", tier, f" (?:{name})(?= )") for k, (label, key, tier, name) in enumerate(out)]
+    """Place, label, keyword phrase, tier and expression of every rule, in order.
+
+    A find takes the space before its first word, and ends before a space.
+    """
+    lines = [line.split("; ") for line in SIGNATURES.strip().split("\n") if not line.startswith("#")]
+    return [(k, label, f" {key}", int(tier), f" (?:{expression})(?= )") for k, (label, tier, key, expression) in enumerate(lines)]
+
+
+def any_of(phrases: list[str]) -> str:
+    """One expression that stands wherever a phrase does: common beginnings are looked at once."""
+    ends: dict[str, list[str]] = {}
+    for p in sorted(set(phrases)):
+        ends.setdefault(p[:1], []).append(p[1:])
+    if "" in ends:
+        return ""
+    parts = [first + any_of(rest) for first, rest in ends.items()]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -146,8 +78,8 @@ def _base(body: Column) -> dict[str, Column]:
 
 
 def _rule_table(spark: SparkSession, known: list[tuple[int, str, str, int, str]]) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(label).alias("label"), F.lit(key).alias("keyword"), F.lit(tier).alias("tier"), F.lit(expression).alias("expression")) for k, label, key, tier, expression in known))
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+    rows = ", ".join(f"({k}, '{label}', '{key}', {tier}, '{expression}')" for k, label, key, tier, expression in known)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS r(place, label, keyword, tier, expression)")
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -155,10 +87,10 @@ def found(docs: DataFrame) -> DataFrame:
     uid, doc_id, base columns, label, tier, start and end (words, end excluded), suppressed."""
     known = rules()
     keys = sorted({key for _, _, key, _, _ in known})
-    gate = F.col("body").rlike(" (?:" + "|".join(sorted({k.strip().split(" ")[0] for k in keys})) + ")")
+    gate = F.col("body").rlike(any_of(keys))
     base = _base(F.col("body"))
     rows = worded(docs).withColumns({"uid": F.monotonically_increasing_id(), **base})
-    rows = rows.withColumn("keys", F.when(gate, F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains("body", k))))
+    rows = rows.withColumn("keys", F.when(gate, F.filter(F.split(F.lit(";".join(keys)), ";"), lambda k: F.contains("body", k))))
     rows = rows.withColumn("body", F.when(F.size("keys") > 0, F.col("body")))
     hits = rows.select("uid", "doc_id", *base, "body", F.explode_outer("keys").alias("keyword")).join(F.broadcast(_rule_table(docs.sparkSession, known)), "keyword", "left")
     parts = F.arrays_zip(F.expr("regexp_extract_all(body, expression, 0)").alias("m"), F.expr("split(body, expression, -1)").alias("p"))
