@@ -38,7 +38,10 @@ def held_by_worker(key: tuple, make: Callable[[], T]) -> T:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable on executors that do not have the repository on their path, and batches short."""
+    """Make the package importable on executors that do not have the repository on their path, and batches short.
+
+    The sizes of BATCH are set for the session, as plans are made lazily: they hold for what the session runs later, too.
+    """
     for name, value in BATCH.items():
         spark.conf.set(name, value)
     app = spark.sparkContext.applicationId
@@ -54,11 +57,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; an own one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; an own one only where it is unset and all of Spark runs in
+    this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return _own_folders.setdefault(app, "file://" + tempfile.mkdtemp(prefix="shared-"))
 
 
@@ -67,7 +73,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more, as that of an earlier round."""
+    spark, path = df.sparkSession, df._written
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

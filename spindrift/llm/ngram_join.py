@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import Bitmap, column, mix64, ship, slices, written
+from spindrift.llm.common import Bitmap, column, mix64, removed, ship, slices, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -274,13 +274,14 @@ def connected(stars: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return own.withColumnRenamed("root", "group")
     both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
+    labels = held = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("x").alias("near"), F.col("label").alias("far"))
         step = labels.join(near, "x").withColumn("near", F.least("near", "label")).join(jump, "near", "left")
         new = written(step.select("x", F.least("far", "near").alias("label"), (F.least("far", "near") < F.col("label")).alias("moved")), "labels")
-        labels = new.select("x", "label")
+        removed(held)
+        held, labels = new, new.select("x", "label")
         if new.where("moved").isEmpty():
             return own.join(labels.select(F.col("x").alias("root"), "label"), "root", "left").select("rep", F.coalesce("label", "root").alias("group"))
 

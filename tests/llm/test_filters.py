@@ -43,17 +43,30 @@ def brute(docs, items):
         t = tokens(text)
         for i, item in items:
             u = tokens(item)
-            cover, slots = {}, {}
-            for p in range(len(t) - 7):
-                for q in range(len(u) - 7):
-                    a, b = t[p : p + 8], u[q : q + 8]
-                    if [x for x, _ in a] == [x for x, _ in b] and sum(isinstance(x, tuple) for x, _ in a) >= 4:
-                        cover.setdefault(p - q, set()).update(range(q, q + 8))
-                        slots.setdefault(p - q, set()).update((y, x) for (_, x), (_, y) in zip(a, b, strict=True) if y)
-            for shift, c in cover.items():
-                s = slots[shift]
-                whole = len({y for y, _ in s}) == len(s) == len({x for _, x in s})
-                if whole and (len(c) >= 0.5 * len(u) or len(c) >= 13):
+            vague = not any(sum(isinstance(x, tuple) for x, _ in u[q : q + 8]) >= 4 for q in range(len(u) - 7))
+            if vague:
+                plain = lambda x: [f or k for k, f in x]
+                if len(u) >= 4 and any(plain(t[p : p + len(u)]) == plain(u) for p in range(len(t) - len(u) + 1)):
+                    found.add((d, i))
+                continue
+            hits = [(p, q) for p in range(len(t) - 7) for q in range(len(u) - 7) if [x for x, _ in t[p : p + 8]] == [x for x, _ in u[q : q + 8]] and sum(isinstance(x, tuple) for x, _ in u[q : q + 8]) >= 4]
+            shifts = sorted({p - q for p, q in hits})
+            lines = [{s} for s in shifts]
+            for s in shifts:
+                if s - 1 in lines[-1] or s - 2 in lines[-1] or s - 3 in lines[-1]:
+                    lines[-1].add(s)
+                else:
+                    lines.append({s})
+            for line in lines:
+                mine = [(p, q) for p, q in hits if p - q in line]
+                becomes = {}
+                for p, q in mine:
+                    for k in range(8):
+                        if u[q + k][1]:
+                            becomes.setdefault(u[q + k][1], set()).add(t[p + k][1])
+                torn = any(len(x) > 1 for x in becomes.values())
+                covered = {q + k for p, q in mine if not torn or all(u[q + k][1] == t[p + k][1] for k in range(8)) for k in range(8)}
+                if covered and (2 * len(covered) >= len(u) or len(covered) >= 13):
                     found.add((d, i))
     return found
 
@@ -84,12 +97,51 @@ def test_reparameterised_items_against_brute_force(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in D.matched(docs, items).where("contaminated").collect()}
     assert got == {(d, i) for d, i in brute(DOCS, ITEMS) if d is not None and i is not None}
-    assert {d for d, _ in got} == {1, 2, 3, 8}  # in 4 one name stands for two
+    assert {d for d, _ in got} == {1, 2, 3, 8}  # in 4 two names stand for one
     rows = {r.doc_id: (r.contaminated, r.n_items, r.best_item) for r in D.verdicts(docs, items).collect()}
     assert rows[3] == (True, 2, 2) and rows[4] == (False, 0, None) and set(rows) == {1, 2, 3, 4, 5, 6, 7, 8, 9}
     assert {r.doc_id for r in D.keep(docs, items).collect()} == {4, 5, 6, 7, 9, None}
 
 
+TRAIN = "a train travels 60 km in 40 minutes so how far does it travel in one whole hour at the same speed"
+VARIANTS = [
+    (1, TRAIN.replace("60", "75").replace("40", "30"), True),
+    (2, TRAIN.replace("60", "50").replace("40", "50"), True),  # two slots get one number
+    (3, TRAIN.replace("how far", "how very far"), True),  # a word put in
+    (4, "a train travels 60 km in 40 minutes and then a bus takes all of us much further on the next day", False),
+    (5, "we add 2 3 4 and 5", False),
+    (6, "so: 12 + 30 + 7 = 49!", True),
+    (7, "so 12 30 8 49", False),
+]
+
+
+def test_what_a_slot_may_become_and_short_items(spark):
+    items = spark.createDataFrame([(1, TRAIN), (2, "12 30 7 49"), (3, "no"), (4, "Add 2 3 4")], "item_id long, text string")
+    docs = spark.createDataFrame([(d, f"Some words before. {t}. And some after") for d, t, _ in VARIANTS], "doc_id long, text string")
+    got = {r.doc_id: r.contaminated for r in D.verdicts(docs, items).collect()}
+    assert got == {d: hit for d, _, hit in VARIANTS} | {5: True}  # by the fourth item
+
+
+def test_one_changed_slot_does_not_clear_a_long_copy(spark):
+    words = [f"word{k}" for k in range(60)]
+    words[10] = words[50] = "Anna"
+    changed = list(words)
+    changed[changed.index("Anna")] = "Berta"
+    docs = spark.createDataFrame([(1, "so " + " ".join(changed))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "so " + " ".join(words))], "item_id long, text string")
+    assert D.verdicts(docs, items).first().contaminated
+
+
+def test_runs_of_words_are_hashed_alike_wherever_they_stand():
+    names = np.random.default_rng(1).integers(0, 5, 300).astype(np.uint64)
+    for long in (1, 4, 9):
+        h = D.stretches(names, long)
+        want = {}
+        for k, x in enumerate(h.tolist()):
+            assert want.setdefault(tuple(names[k : k + long].tolist()), x) == x
+        assert len(set(want.values())) == len(want)
+
+
 def test_random_passages_against_brute_force(spark):
     rng = random.Random(3)
     words = ["the", "of", "Anna", "Paris", "12", "7", "km", "so", "we", "go", "there", ".", "Then"]
@@ -131,7 +183,7 @@ def test_without_broadcast(spark, monkeypatch):
 # -- URL filters --------------------------------------------------------------------------------
 
 
-def page_rank(hosts, edges, seeds, rounds=U.ROUNDS):
+def page_rank(hosts, edges, seeds, rounds=400):
     rank = dict(seeds)
     out = Counter()
     for (a, _), n in edges.items():
@@ -180,7 +232,28 @@ def test_rules_hosts_and_ranks(spark):
     trust = page_rank(None, edges, {"good.org": 1 / ruled})
     distrust = page_rank(None, {(b, a): n for (a, b), n in edges.items()}, {"bad.example.org": 1 / ruled, "sub.com": 1 / ruled, "a.example.org": 1 / ruled})
     for r in got:
-        assert abs(r.trust - trust.get(r.host, 0)) < 1e-9 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-9
+        assert abs(r.trust - trust.get(r.host, 0)) < 1e-7 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-7
+
+
+def test_trust_and_distrust_reach_far_hosts_in_any_table(spark):
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    chain = [(k, f"http://h{k}.net/", link(f"h{k + 1}.net")) for k in range(30)] + [(30, "http://h30.net/", link("bad.com"))]
+    good = [(40, "http://good.org/", link("t0.net"))] + [(50 + k, f"http://t{k}.net/", link(f"t{k + 1}.net")) for k in range(25)]
+    pages = spark.createDataFrame([*chain, (35, "http://bad.com/de/", ""), *good], PAGE_SCHEMA)
+    many = pages.union(spark.range(3000).selectExpr("id + 1000", "'http://else.org/x'", "''"))
+    for table in (pages, many):
+        got = {r.host: r for r in U.judge(table).collect()}
+        assert all(got[f"h{k}.net"].verdict == "block" for k in range(31))
+        assert all(got[f"t{k}.net"].verdict == "allow" and got[f"t{k}.net"].trust > 0 for k in range(25))
+
+
+def test_ranks_settle_in_loops(spark):
+    edges = {("good.org", "a.net"): 1, ("a.net", "b.net"): 2, ("b.net", "a.net"): 1, ("b.net", "c.net"): 3, ("c.net", "a.net"): 1}
+    html = lambda h: "".join(f'<a href="http://{b}/">x</a>' * n for (a, b), n in edges.items() if a == h)
+    pages = spark.createDataFrame([(k, f"http://{h}/", html(h)) for k, h in enumerate(["good.org", "a.net", "b.net", "c.net"])], PAGE_SCHEMA)
+    want = page_rank(None, edges, {"good.org": 1.0})
+    got = {r.host: r.trust for r in U.judge(pages).collect()}
+    assert all(abs(got[h] - want[h]) < 1e-5 * want[h] for h in got)
 
 
 def test_no_python_on_the_main_path_and_empty_pages(spark):
@@ -224,6 +297,12 @@ LICENSED = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this. mit anderen Worten",
     "the bsd 3-clause license and the unlicense, in the public domain: is in the public domain",
     "apache licenses MITlicense commit license",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the Some Great Group nor the names of its contributors may be used to endorse or promote products",
+    "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "https://creativecommons.org/licenses/by-nc-sa/4.0/ Alle Rechte vorbehalten. Tous droits réservés",
     "1mit license é mit license",
 ]
 
@@ -250,7 +329,63 @@ def test_scan_keeps_every_row_and_is_native(spark):
     assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in cases.ODD)
     assert L.scan(cases.empty(spark)).count() == 0
     assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
-    assert len(L.rules()) > 300
+
+
+def variants(expression):
+    """Texts that a signature matches: with the first and the last way of each choice, and with and without what may be left out."""
+    import itertools
+    import re._constants as C
+    import re._parser as parser
+
+    def texts(parsed, last, more):
+        out = ""
+        for op, arg in parsed:
+            if op is C.LITERAL:
+                out += chr(arg)
+            elif op is C.IN:
+                kind, x = arg[-1 if last else 0]
+                out += chr(x[1 if last else 0]) if kind is C.RANGE else chr(x)
+            elif op is C.SUBPATTERN:
+                out += texts(arg[3], last, more)
+            elif op is C.BRANCH:
+                out += texts(arg[1][-1 if last else 0], last, more)
+            else:
+                assert op is C.MAX_REPEAT, op
+                out += "".join(texts(arg[2], last, more) for _ in range(min(arg[1], 8) if more else arg[0]))
+        return out
+
+    parsed = parser.parse(expression)
+    return {texts(parsed, last, more) for last, more in itertools.product((False, True), repeat=2)}
+
+
+def test_every_signature_has_its_keyword_and_is_found():
+    known = L.rules()
+    assert len(known) > 300
+    assert len({e for *_, e in known}) == len(known)
+    gate = re.compile(L.any_of([key for _, _, key, _, _ in known]))
+    for _, label, key, tier, expression in known:
+        assert tier in L.CONFIDENCE and label == label.strip() != ""
+        words = expression.removeprefix(" (?:").removesuffix(")(?= )")
+        for text in variants(words):
+            body = f" some words {text} and others "
+            assert key in body and gate.search(body), (key, text)
+            found = re.search(expression, body)
+            assert found and found[0] == f" {text}", (expression, text)
+        # The shortest way with its words torn apart, run together or within others is not the signature.
+        short = min(variants(words), key=len)
+        split = short.split(" ")
+        assert not re.search(expression, f" x{short}x "), short
+        if len(split) > 1:
+            assert not re.search(expression, f" some {' gap '.join(split)} "), short
+            assert not re.search(expression, f" some {''.join(split)} "), short
+
+
+def test_real_notices_have_their_labels(spark):
+    got = {r.doc_id: set(r.labels.split(",")) for r in L.scan(spark.createDataFrame(list(enumerate(LICENSED)), "doc_id long, text string")).collect()}
+    want = {0: {"apache-2.0", "mit", "apache"}, 1: {"gpl-3.0", "lgpl-2.1", "gpl"}, 2: {"gpl-3.0-or-later"}, 8: {"mit"}, 9: {"gpl-3.0-or-later", "gpl"}, 10: {"bsd", "bsd-3-clause"}, 11: {"apache-2.0"}, 12: {"mpl-2.0"}, 13: {"cc-by-nc-sa-4.0", "all-rights-reserved"}}
+    for d, labels in want.items():
+        assert labels <= got[d], (d, got[d])
+    assert not any(x.startswith("bsd") for d in (0, 1, 2, 4, 8, 9, 11) for x in got[d])
 
 
 # -- sharding -----------------------------------------------------------------------------------
@@ -298,3 +433,20 @@ def test_rows_go_where_the_table_says(spark, tmp_path):
     assert spread.select("slot").distinct().count() > 8
     H.write(odd, shards, ["doc_id"], f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(cases.ODD)
+
+
+def test_names_that_clash(spark, tmp_path):
+    shards, df = {"a": 1, "b": 1}, spark.range(50).selectExpr("id AS doc_id", "id * 2 AS slot", "'x' AS shard", "id AS row", "'y' AS c0", "1 AS copies")
+    for c in ("slot", "shard", "SHARD"):
+        with pytest.raises(ValueError, match="names of the result"):
+            H.assign(df, shards, ["doc_id"], [c])
+    got = H.assign(df, shards, ["slot"], df.columns, names=("place", "home")).collect()
+    assert len(got) == 50 and all((r.slot, r.shard, r.row, r.c0) == (2 * r.doc_id, "x", r.doc_id, "y") for r in got)
+    plain = {r.doc_id: r.shard for r in H.assign(df, shards, ["slot"], ["doc_id"]).collect()}
+    assert {r.doc_id: r.home for r in got} == plain
+    with pytest.raises(ValueError, match="names of the result"):
+        H.write(df, shards, ["doc_id"], f"{tmp_path}/no")
+    H.write(df, shards, ["slot"], f"{tmp_path}/out", folder="home")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert set(back.columns) == {*df.columns, "home"}
+    assert {r.doc_id: r.home for r in back.collect()} == plain

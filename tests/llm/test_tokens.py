@@ -36,7 +36,7 @@ def test_cut_texts_have_the_ids_of_whole_ones(bpe):
 
 def test_frames_hold_all_documents_in_order(spark, bpe):
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
-    coded, table = O.encode(docs, BPE, 4)
+    coded, table = O.opened(spark, O.encode(docs, BPE, 4))
     starts = {r.part: r.start for r in O.part_starts(coded).collect()}
     got = sorted(O.digests(coded, table).collect(), key=lambda r: r.doc_id)
     at = 0
@@ -52,7 +52,7 @@ def test_frames_hold_all_documents_in_order(spark, bpe):
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.zipf(1.3, n), 50_000).astype(np.uint16)
-    table = O.Table(dict(zip(*(x.tolist() for x in np.unique(np.append(ids, [0, 9]), return_counts=True)), strict=True)))
+    table = O.Table.of(dict(zip(*(x.tolist() for x in np.unique(np.append(ids, [0, 9]), return_counts=True)), strict=True)))
     assert int(table.freq.sum()) == 1 << O.BITS
     docs = [(5, ids[: n // 3].tobytes()), (None, b""), (-2, ids[n // 3 :].tobytes())]
     raw = O.frame(docs, 77, table)
@@ -66,26 +66,65 @@ def test_coding_approaches_the_entropy():
     ids = np.minimum(rng.zipf(1.2, 400_000), 50_000).astype(np.uint16)
     count = np.bincount(ids)
     p = count[count > 0] / len(ids)
-    table = O.Table({i: int(c) for i, c in enumerate(count) if c})
+    table = O.Table.of({i: int(c) for i, c in enumerate(count) if c})
     assert len(O.frame([(1, ids.tobytes())], 0, table)) * 8 < 1.06 * len(ids) * -(p * np.log2(p)).sum() + 64 * O.LANES * 2
 
 
+def test_blocks_are_decoded_alone_and_in_any_order(monkeypatch):
+    monkeypatch.setattr(O, "BLOCK", 5000)
+    ids = np.minimum(np.random.default_rng(5).zipf(1.3, 23_000), 50_000).astype(np.uint16)
+    table = O.Table.of({i: int(c) for i, c in enumerate(np.bincount(ids)) if c})
+    raw = O.frame([(1, ids[:9000].tobytes()), (2, ids[9000:].tobytes())], 0, table)
+    for k in (3, 0, 4, 1, 2):
+        assert O.block(raw, k, table).tolist() == ids[5000 * k : 5000 * k + 5000].tolist()
+    made = []
+    whole = O.block
+    monkeypatch.setattr(O, "block", lambda raw, k, *more: made.append(k) or whole(raw, k, *more))
+    assert O.stretch(raw, 9990, 10_020, table).tolist() == ids[9990:10_020].tolist()
+    assert made == [1, 2]
+    # Damage in one block does not keep others from being read.
+    at = O.heads(raw, table).blocks[2][4]
+    broken = raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :]
+    assert whole(broken, 3, table).tolist() == ids[15_000:20_000].tolist()
+    with pytest.raises(ValueError):
+        whole(broken, 2, table)
+
+
+def test_a_folder_is_all_that_another_session_needs(spark, bpe, tmp_path):
+    docs = spark.createDataFrame([(5, "some words"), (3, "and others"), (None, "none")], "doc_id long, text string").withColumn("part", O.F.lit("x")).withColumn("ids", O.F.lit(1))
+    O.encode(docs, BPE, 2, f"file://{tmp_path}/out")
+    code = f"""
+import sys
+sys.path.insert(0, {str(__import__("pathlib").Path(O.__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+from spindrift.llm import token_output as O
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print([(r.doc_id, bytes(r.ids).hex()) for r in O.decode(*O.opened(spark, "file://{tmp_path}/out")).orderBy("part", "at").collect()])
+"""
+    import subprocess
+    import sys
+
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=200)
+    want = [(d, np.array([*bpe.encode(t, add_special_tokens=False).ids, 0], "<u2").tobytes().hex()) for d, t in ((None, "none"), (3, "and others"), (5, "some words"))]
+    assert got.stdout.strip() == str(want), got.stderr[-2000:]
+
+
 def test_damage_is_noticed():
-    table = O.Table({0: 5, 3: 9})
+    table = O.Table.of({0: 5, 3: 9})
     raw = O.frame([(1, np.array([3, 3, 0], "<u2").tobytes())], 0, table)
     for broken in (raw[:-1], raw[:40] + bytes([raw[40] ^ 1]) + raw[41:], b"XXXX" + raw[4:]):
         with pytest.raises(ValueError):
             O.unframed(broken, table)
     with pytest.raises(ValueError):
-        O.unframed(raw, O.Table({0: 1, 3: 1, 4: 1}))
+        O.unframed(raw, O.Table.of({0: 1, 3: 1, 4: 1}))
 
 
 def test_output_of_odd_and_empty_tables(spark):
-    coded, table = O.encode(cases.odd(spark), BPE, 3)
+    coded, table = O.opened(spark, O.encode(cases.odd(spark), BPE, 3))
     got = O.digests(coded, table).collect()
     assert len(got) == len(cases.ODD)
     assert {r.n_tokens for r in got if r.doc_id in (2, 3)} == {1}
-    coded, table = O.encode(cases.empty(spark), BPE, 3)
+    coded, table = O.opened(spark, O.encode(cases.empty(spark), BPE, 3))
     assert O.digests(coded, table).count() == 0
     assert O.part_starts(coded).count() == 0
 
@@ -120,6 +159,16 @@ def test_ties_take_the_longer_last_piece(unigram):
         assert c.text(text) == len(flat.encode(text, add_special_tokens=False).ids)
 
 
+def test_long_words_are_counted_and_not_remembered(unigram):
+    c = N.Counter(PIECES)
+    rng = random.Random(8)
+    for n in (63, 64, 65, 5000):
+        word = "".join(rng.choices("abcdeß漢tionring", k=n))
+        assert c.text(word) == len(unigram.encode(word, add_special_tokens=False).ids)
+    assert max(map(len, c)) == 64
+    assert c.text("x" * 1_000_000) > 1000
+
+
 def test_counts_of_odd_and_empty_tables(spark):
     got = N.count(cases.odd(spark), PIECES).collect()
     assert len(got) == len(cases.ODD)
@@ -168,6 +217,25 @@ def test_decoding_is_lossless_and_rows_do_not_depend_on_batches():
     assert any(a.tolist() != b.tolist() for a, b in zip(coded, s.encode(texts, S.row_keys(list(range(50, 50 + len(texts))))), strict=True))
 
 
+def test_thresholds_do_not_depend_on_where_a_word_stands():
+    words = [*"the of a hello international ñandú x漢 don't".split(), "ab" * 90]
+    bits = np.uint64(S.DRAW_BITS)
+
+    def thresholds(s, word):
+        a, b = s.first[s.place[word]], s.last[s.place[word]]
+        node = (s.cum - np.uint64(1)) >> bits  # of each edge, as its threshold is over 0
+        held = (node >= a) & (node <= b)
+        return (s.cum[held] - (node[held] << bits)).tolist(), s.piece[held].tolist()
+
+    one, other = S.Sampler(PIECES), S.Sampler(PIECES)
+    one.places(words)
+    other.places([f"w{k}" for k in range(20_000)])
+    for w in reversed(words):
+        other.places([w, w + "q"])
+    for w in words:
+        assert thresholds(one, w) == thresholds(other, w)
+
+
 def test_forgetting_does_not_change_samples(monkeypatch):
     monkeypatch.setattr(S, "MEMO_NODES", 200)
     s, texts = S.Sampler(PIECES), [f"some words number {k} and others {k * 7}" for k in range(60)]
