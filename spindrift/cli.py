@@ -45,12 +45,12 @@ def keygen(args: argparse.Namespace) -> int:
 
 
 def build(args: argparse.Namespace) -> int:
-    if os.path.exists(args.out):
-        raise UsageError("the output exists")
     populations = [*args.oa_populations, *args.code_populations]
     if bool(populations) == args.uniform_prior:
         raise UsageError("give population files, or --uniform-prior")
     spark = session()
+    if artefact.exists(spark, args.out):
+        raise UsageError("the output exists")
     read = directory.read_directory(spark, args.directory, args.gb_only)
     if args.uniform_prior:
         weighted = read.nodes.withColumn("prior", F.lit(1).cast("long")).withColumn("origin", F.lit("none"))
@@ -60,8 +60,8 @@ def build(args: argparse.Namespace) -> int:
         weighted = nodes.population_prior(read.nodes, by_code, by_area)
     made = graphs.assemble(read.nodes, args.max_edge_km, args.prune_alpha)
     graph = PlaceGraph(weighted.drop("origin", "area"), made.edges.select("a", "b"), read.excluded)
-    sources = [artefact.PopulationSource(os.path.basename(p), role, artefact.file_digest(p)) for role, paths in (("area", args.oa_populations), ("code", args.code_populations)) for p in paths]
-    came = artefact.Provenance(os.path.basename(args.directory), artefact.file_digest(args.directory), "uniform" if args.uniform_prior else "population", args.gb_only, args.max_edge_km, args.prune_alpha, sources)
+    sources = [artefact.PopulationSource(os.path.basename(p), role, artefact.file_digest(spark, p)) for role, paths in (("area", args.oa_populations), ("code", args.code_populations)) for p in paths]
+    came = artefact.Provenance(os.path.basename(args.directory), artefact.file_digest(spark, args.directory), "uniform" if args.uniform_prior else "population", args.gb_only, args.max_edge_km, args.prune_alpha, sources)
     artefact.save_graph(graph, args.out, came)
     stored = artefact.load_graph(spark, args.out)
     ends = graphs.degree_summary(stored.nodes, stored.edges).first()
@@ -69,15 +69,16 @@ def build(args: argparse.Namespace) -> int:
         "nodes": ends["nodes"], "edges": ends["ends"] // 2, "mean_degree": ends["mean_degree"], "rows_read": read.rows_read, "dropped": read.dropped, "cut": made.cut.count(), "reconnected": made.reconnected.count(), "pruned": made.pruned.count(), "bridges": made.bridged.count(),
         "prior_coverage": nodes.prior_coverage(weighted).first().asDict(), "provenance": asdict(came), "graph_digest": artefact.digest(stored), "attribution": artefact.attribution(artefact.source_year(args.directory)),
     }
-    with open(args.out.rstrip("/") + ".manifest.json", "w") as f:
-        json.dump(manifest, f, indent=1)
+    artefact.write_text(spark, args.out.rstrip("/") + ".manifest.json", json.dumps(manifest, indent=1))
     return 0
 
 
 def perturb(args: argparse.Namespace) -> int:
-    if os.path.abspath(args.source) == os.path.abspath(args.out):
+    if os.path.normpath(args.source) == os.path.normpath(args.out):
         raise UsageError("the output would replace the input")
     key, spark = load_key(args.key_file), session()
+    if artefact.exists(spark, args.out):
+        raise UsageError("the output exists")
     rows = directory.read_records(spark, args.source)
     for c in (args.code_col, args.subject_col):
         if c not in rows.columns:
@@ -96,8 +97,8 @@ def perturb(args: argparse.Namespace) -> int:
     manifest = artefact.release_manifest(mechanism, out, true, args.out_col, args.on_error, args.keep_source, n).first().asDict()
     shown = out if args.keep_source else out.drop(true)
     directory.write_records(shown.select(*(c for c in shown.columns if c != args.out_col), args.out_col), args.out)
-    with open(args.out.rstrip("/") + ".manifest.json", "w") as f:
-        json.dump(manifest, f, indent=1)
+    artefact.write_text(spark, args.out.rstrip("/") + ".manifest.json", json.dumps(manifest, indent=1))
+    out.unpersist()
     return ROWS_FAILED if manifest["rows_failed"] else 0
 
 

@@ -5,11 +5,18 @@ class InvalidPlaceCode(ValueError):
     """A code that has not 5 to 7 characters besides white space."""
 
 
-class UnknownPlaceCode(KeyError):
+class CodeError(KeyError):
+    """A KeyError whose text is its message, without the quotes that KeyError puts around keys."""
+
+    def __str__(self) -> str:
+        return str(self.args[0]) if self.args else ""
+
+
+class UnknownPlaceCode(CodeError):
     """A code that the graph does not have."""
 
 
-class LargeUserCode(KeyError):
+class LargeUserCode(CodeError):
     """A code of a single organisation: never an input, never an output."""
 
 

@@ -38,10 +38,10 @@ def blank(x: Column) -> Column:
     return F.trim(F.coalesce(x.cast("string"), F.lit(""))) == ""
 
 
-def missing(x: Column) -> Column:
-    """Null, NaN or blank; 0 and false are values."""
+def missing(x: Column, floating: bool = False) -> Column:
+    """Null or blank, and of floating columns NaN; 0, false and the text NaN are values."""
     text = F.regexp_replace(x.cast("string"), r"(?U)\s", "")
-    return x.isNull() | (text == "") | (text == "NaN")
+    return x.isNull() | (text == "") | (F.isnan(x) if floating else F.lit(False))
 
 
 def is_northern(code: Column) -> Column:

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.errors import GraphIntegrityError
 from spindrift.operators import geometry
-from spindrift.tables import settled
-
-#: Hops between two tables in the shared folder.
-LEVELS = 4
+from spindrift.tables import removed, settled
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -37,14 +35,16 @@ def degree_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, component: the least node that edges lead to."""
     both = settled(symmetric(edges), "both")
-    labels = settled(nodes.select("node_id", F.col("node_id").alias("component")), "labels")
+    labels = held = settled(nodes.select("node_id", F.col("node_id").alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.min("component").alias("near"))
         low = labels.join(near, "node_id", "left").select("node_id", "component", F.least("component", "near").alias("near"))
         jump = labels.select(F.col("node_id").alias("near"), F.col("component").alias("far"))
         new = settled(low.join(jump, "near").select("node_id", F.least("near", "far").alias("next"), (F.least("near", "far") < F.col("component")).alias("moved")), "labels")
-        labels = new.select("node_id", F.col("next").alias("component"))
+        removed(held)
+        held, labels = new, new.select("node_id", F.col("next").alias("component"))
         if new.where("moved").isEmpty():
+            removed(both)
             return labels
 
 
@@ -106,21 +106,25 @@ def assemble(nodes: DataFrame, max_edge_km: float = geometry.MAX_EDGE_KM, alpha:
 def ball(sources: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
     """source, node_id, hop: every node within radius hops of each source, at its least hop.
 
-    A frontier moves over all sources at once; what was reached is left out before the rest is made distinct.
+    A frontier moves over all sources at once, a table for each hop. A neighbour of hop k is at k - 1, k or k + 1, as edges
+    go both ways, so a hop takes one join with the edges and leaves out the last two frontiers.
     """
     both = symmetric(edges)
-    reached = frontier = sources.select(F.col("node_id").alias("source"), "node_id").distinct().withColumn("hop", F.lit(0))
+    frontier = settled(sources.select(F.col("node_id").alias("source"), "node_id").distinct().withColumn("hop", F.lit(0)), "frontier")
+    hops = [frontier]
     for hop in range(1, radius + 1):
-        steps = frontier.join(both, frontier.node_id == both.src).select("source", F.col("dst").alias("node_id"))
-        frontier = steps.join(reached, ["source", "node_id"], "left_anti").distinct().withColumn("hop", F.lit(hop))
-        if hop % LEVELS == 0:
-            frontier = settled(frontier, "frontier")
-            if frontier.isEmpty():
-                break
-        reached = reached.union(frontier)
-        if hop % LEVELS == 0:
-            reached = settled(reached, "reached")
-    return reached
+        frontier = settled(next_hop(both, *hops[-2:]).withColumn("hop", F.lit(hop)), "frontier")
+        if frontier.isEmpty():
+            break
+        hops.append(frontier)
+    return reduce(DataFrame.union, hops)
+
+
+def next_hop(both: DataFrame, *last: DataFrame) -> DataFrame:
+    """source, node_id one hop from the last frontier, in none of the last ones."""
+    frontier = last[-1]
+    steps = frontier.join(both, frontier.node_id == both.src).select("source", F.col("dst").alias("node_id"))
+    return steps.join(reduce(DataFrame.union, last).select("source", "node_id"), ["source", "node_id"], "left_anti").distinct()
 
 
 def hop_distances(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
@@ -128,9 +132,9 @@ def hop_distances(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
     return ball(nodes, edges, radius).select(F.col("source").alias("a"), F.col("node_id").alias("b"), F.col("hop").alias("hops"))
 
 
-def induced(nodes: DataFrame, measured: DataFrame, x: int, y: int, half: int, metres: float) -> DataFrame:
-    """Edges up to a length with both ends in a box."""
-    inside = nodes.where((F.abs(F.col("easting") - x) < half) & (F.abs(F.col("northing") - y) < half)).select("node_id")
+def induced(nodes: DataFrame, measured: DataFrame, x: int, y: int, half_x: int, half_y: int, metres: float) -> DataFrame:
+    """Edges up to a length with both ends in a box around a point."""
+    inside = nodes.where((F.abs(F.col("easting") - x) < half_x) & (F.abs(F.col("northing") - y) < half_y)).select("node_id")
     out = measured.where(F.col("metres") <= metres)
     for end in ("a", "b"):
         out = out.join(inside.withColumnRenamed("node_id", end), end, "left_semi")

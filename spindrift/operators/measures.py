@@ -5,16 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.errors import UnknownTarget
-from spindrift.functions import codes, exact
+from spindrift.functions import codes
 from spindrift.functions.exact import Key
-from spindrift.operators import graph as graphs
-from spindrift.operators.mechanism import HopMechanism, PlaceGraph, weighted_quantiles
+from spindrift.operators.mechanism import HopMechanism, PlaceGraph, ball_quantiles
+from spindrift.operators.nodes import numbered
 from spindrift.tables import settled
 
 #: Fixed values of the solvers.
@@ -36,7 +37,9 @@ def stratified_sample(groups: DataFrame, per_group: int, seed: int) -> tuple[Dat
     """node_id, group of up to per_group nodes of each group (in sorted order, one stream of draws), and notes on small groups."""
     rng, picks, notes = np.random.default_rng(seed), [], []
     sizes = {r["group"]: r["n"] for r in groups.where("group <> 'unclassified'").groupBy("group").agg(F.count("*").alias("n")).collect()}
-    ranked = groups.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy("node_id")) - 1)
+    # Places of a group are numbered in ranges, not in one task: their number among all less that of the group's first.
+    every = numbered(groups.select("node_id", "group"), ["group", "node_id"], "place")
+    ranked = every.join(every.groupBy("group").agg(F.min("place").alias("first")), "group").select("node_id", "group", (F.col("place") - F.col("first")).cast("int").alias("r"))
     for g in sorted(sizes):
         if sizes[g] < per_group:
             notes.append(f"{g} has {sizes[g]} of {per_group}")
@@ -45,23 +48,24 @@ def stratified_sample(groups: DataFrame, per_group: int, seed: int) -> tuple[Dat
     return ranked.join(F.broadcast(chosen), ["group", "r"]).select("node_id", "group"), notes
 
 
-def _placed(graph: PlaceGraph, reach: DataFrame) -> DataFrame:
-    """source, node_id, hop, prior and km from the source."""
-    at = graph.nodes.select("node_id", "prior", F.col("easting").alias("x"), F.col("northing").alias("y"))
+def placed_ball(graph: PlaceGraph, codes_df: DataFrame, radius: int) -> DataFrame:
+    """source, node_id, hop, prior and km from the source of all nodes within radius hops, expanded once and settled."""
+    at = graph.nodes.select("node_id", F.col("easting").alias("x"), F.col("northing").alias("y"))
     from_ = graph.nodes.select(F.col("node_id").alias("source"), F.col("easting").alias("sx"), F.col("northing").alias("sy"))
     far = F.hypot((F.col("x") - F.col("sx")).cast("double"), (F.col("y") - F.col("sy")).cast("double")) / 1000
-    return reach.join(at, "node_id").join(from_, "source").select("source", "node_id", "hop", "prior", far.alias("km"))
+    reach = graph.ball(codes_df, radius).join(graph.beside(at), "node_id").join(graph.beside(from_), "source")
+    return settled(reach.select("source", "node_id", "hop", "prior", far.alias("km")), "placed")
 
 
 def displacement(mechanism: HopMechanism, codes_df: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """source, mean_km, median_km, p95_km of outputs below the radius; self_probability, teleport_probability, ball_size.
 
-    placed: hops that were expanded before, to the largest radius that is asked for.
+    placed: a ball of codes_df that was expanded before, to the largest radius that is asked for.
     """
-    placed = placed if placed is not None else settled(_placed(mechanism.graph, graphs.ball(codes_df, mechanism.graph.edges, mechanism.radius - 1)), "placed")
+    placed = placed if placed is not None else placed_ball(mechanism.graph, codes_df, mechanism.radius - 1)
     near = placed.where(F.col("hop") < mechanism.radius).withColumn("w", F.col("prior") * mechanism.factor())
     mean = near.groupBy("source").agg((F.sum(F.col("km") * F.col("w")) / F.sum("w")).alias("mean_km"), F.sum("w").alias("__ball"), F.sum("prior").alias("__prior"), F.count("*").alias("ball_size"), F.max(F.when(F.col("hop") == 0, F.col("prior"))).alias("__own"))
-    quantiles = weighted_quantiles(near, ["source"], "km", "w", {"median_km": 0.5, "p95_km": 0.95})
+    quantiles = ball_quantiles(near, ["source"], "km", "w", {"median_km": 0.5, "p95_km": 0.95})
     tail = (F.lit(mechanism.total_prior) - F.col("__prior")) * math.exp(-mechanism.epsilon / 2 * mechanism.radius)
     total = F.col("__ball") + tail
     return mean.join(quantiles, "source").select("source", "mean_km", "median_km", "p95_km", (F.col("__own") / total).alias("self_probability"), (tail / total).alias("teleport_probability"), "ball_size")
@@ -74,17 +78,29 @@ def sample_report(mechanism: HopMechanism, codes_df: DataFrame) -> DataFrame:
     )
 
 
-def area_preservation(mechanism: HopMechanism, codes_df: DataFrame, areas: DataFrame) -> DataFrame:
-    """source, area_preserved: chance that an output below the radius has the source's area. areas: node_id, area."""
-    of = areas.select(F.col("node_id").alias("source"), F.col("area").alias("home"))
-    near = mechanism.balls(codes_df).join(areas, "node_id").join(of, "source")
-    same = near.groupBy("source").agg(F.sum(F.when(F.col("area") == F.col("home"), F.col("prior") * mechanism.factor()).otherwise(0.0)).alias("same"))
-    return same.join(mechanism.totals(codes_df), "source").select("source", (F.col("same") / F.col("total")).alias("area_preserved"))
+def area_preservation(mechanism: HopMechanism, codes_df: DataFrame, areas: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """source, area_preserved: chance that an output below the radius has the source's area. areas: node_id, area.
 
+    placed: a ball of codes_df that was expanded before.
+    """
+    graph = mechanism.graph
+    of = graph.beside(areas.select(F.col("node_id").alias("source"), F.col("area").alias("home")))
+    ball = mechanism.balls(codes_df) if placed is None else placed.where(F.col("hop") < mechanism.radius)
+    weight = F.col("prior") * mechanism.factor()
+    per = ball.join(graph.beside(areas.select("node_id", "area")), "node_id", "left").join(of, "source").groupBy("source").agg(
+        F.sum(F.when(F.col("area") == F.col("home"), weight).otherwise(0.0)).alias("same"), F.sum(weight).alias("near"), F.sum("prior").alias("prior")
+    )
+    tail = (F.lit(mechanism.total_prior) - F.col("prior")) * math.exp(-mechanism.epsilon / 2 * mechanism.radius)
+    return per.select("source", (F.col("same") / (F.col("near") + tail)).alias("area_preserved"))
+
+
+def group_summary(mechanism: HopMechanism, sample: DataFrame, areas: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """group, count, median_km, p95_km, area_preserved, median_self_probability. sample: node_id, group.
 
-def group_summary(mechanism: HopMechanism, sample: DataFrame, areas: DataFrame) -> DataFrame:
-    """group, count, median_km, p95_km, area_preserved, median_self_probability. sample: node_id, group."""
-    rows = displacement(mechanism, sample).join(area_preservation(mechanism, sample, areas), "source").join(sample.withColumnRenamed("node_id", "source"), "source")
+    One ball of the sample serves all measures; placed: one that was expanded before.
+    """
+    placed = placed if placed is not None else placed_ball(mechanism.graph, sample, mechanism.radius - 1)
+    rows = displacement(mechanism, sample, placed).join(area_preservation(mechanism, sample, areas, placed), "source").join(sample.withColumnRenamed("node_id", "source"), "source")
     return rows.groupBy("group").agg(F.count("*").alias("count"), F.expr("percentile(median_km, 0.5)").alias("median_km"), F.expr("percentile(p95_km, 0.95)").alias("p95_km"), F.expr("percentile(area_preserved, 0.5)").alias("area_preserved"), F.expr("percentile(self_probability, 0.5)").alias("median_self_probability"))
 
 
@@ -123,7 +139,7 @@ def calibrate(graph: PlaceGraph, target: str, value: float, sample_size: int = 1
     measure, rising = TARGETS[target]
     sample = sample_places(graph, sample_size, seed)
     widest = HopMechanism(graph, MIN_EPSILON)
-    placed = settled(_placed(graph, graphs.ball(sample, graph.edges, widest.radius - 1)), "placed")
+    placed = placed_ball(graph, sample, widest.radius - 1)
     at = lambda e: measure(displacement(HopMechanism(graph, e), sample, placed))
     low, high = MIN_EPSILON, most_epsilon
     ends = sorted((at(low)[0], at(high)[0]))
@@ -156,7 +172,7 @@ def equivalent_epsilon(graph: PlaceGraph, code: str, steps: int = MATCH_STEPS) -
     row = truncation_error(graph, one).first()
     if row is None:
         raise ValueError("the code is alone in its district")
-    placed = settled(_placed(graph, graphs.ball(one, graph.edges, HopMechanism(graph, MIN_EPSILON).radius - 1)), "placed")
+    placed = placed_ball(graph, one, HopMechanism(graph, MIN_EPSILON).radius - 1)
     low, high = MIN_EPSILON, MAX_EPSILON
     for _ in range(steps):
         middle = math.sqrt(low * high)
@@ -165,13 +181,31 @@ def equivalent_epsilon(graph: PlaceGraph, code: str, steps: int = MATCH_STEPS) -
     return high, row["truncation_km"]
 
 
+def equivalent_epsilons(graph: PlaceGraph, groups: DataFrame, per_group: int, seed: int, steps: int = MATCH_STEPS) -> tuple[DataFrame, list[str]]:
+    """node_id, group, epsilon, truncation_km of a stratified sample, without codes that are alone in their district, and
+    notes on small groups. All places take their steps of bisection together, on one expansion."""
+    sample, notes = stratified_sample(groups, per_group, seed)
+    sample = settled(sample, "sample")
+    spark, wanted = sample.sparkSession, truncation_error(graph, sample).select(F.col("source").alias("node_id"), "truncation_km")
+    rows = {r["node_id"]: [r["group"], r["truncation_km"], MIN_EPSILON, MAX_EPSILON] for r in sample.join(wanted, "node_id").collect()}  # as many as were asked for
+    placed = placed_ball(graph, sample, HopMechanism(graph, MIN_EPSILON).radius - 1)
+    for _ in range(steps):
+        middle = spark.createDataFrame([(k, math.sqrt(r[2] * r[3])) for k, r in rows.items()], "source long, epsilon double")
+        radii = {e: HopMechanism(graph, e).radius for e in {math.sqrt(r[2] * r[3]) for r in rows.values()}}
+        at = middle.join(spark.createDataFrame(list(radii.items()), "epsilon double, radius int"), "epsilon")
+        near = placed.join(F.broadcast(at), "source").where(F.col("hop") < F.col("radius")).withColumn("w", F.col("prior") * F.exp(-F.col("hop") * F.col("epsilon") / 2))
+        for r in ball_quantiles(near, ["source"], "km", "w", {"median_km": 0.5}).collect():
+            group, wanted_km, low, high = rows[r["source"]]
+            half = math.sqrt(low * high)
+            rows[r["source"]] = [group, wanted_km, *((low, half) if r["median_km"] < wanted_km else (half, high))]
+    return spark.createDataFrame([(k, g, high, km) for k, (g, km, _, high) in rows.items()], "node_id long, group string, epsilon double, truncation_km double"), notes
+
+
 def epsilon_table(graph: PlaceGraph, sample: DataFrame, areas: DataFrame, epsilons: list[float], radius: int | None = None) -> DataFrame:
-    """epsilon and group_summary of one sample for each."""
-    out = None
-    for e in epsilons:
-        part = group_summary(HopMechanism(graph, e, radius), sample, areas).withColumn("epsilon", F.lit(e))
-        out = part if out is None else out.union(part)
-    return out
+    """epsilon and group_summary of one sample for each; one ball, as wide as any asks for, serves all."""
+    made = [HopMechanism(graph, e, radius) for e in epsilons]
+    placed = placed_ball(graph, sample, max(m.radius for m in made) - 1)
+    return reduce(DataFrame.union, [group_summary(m, sample, areas, placed).withColumn("epsilon", F.lit(m.epsilon)) for m in made])
 
 
 def exposure_percentiles(mechanism: HopMechanism, sample: DataFrame) -> DataFrame:
@@ -200,41 +234,43 @@ def posterior_after(mechanism: HopMechanism, outputs: list[int], independent: bo
     spark: SparkSession = mechanism.graph.nodes.sparkSession
     told = outputs if independent else list(dict.fromkeys(outputs))
     first = spark.createDataFrame([(told[0],)], "node_id long")
-    near = settled(graphs.ball(first, mechanism.graph.edges, candidate_radius).select("node_id"), "near")
+    near = settled(mechanism.graph.ball(first, candidate_radius).select("node_id"), "near")
     times = spark.createDataFrame([(o, told.count(o)) for o in dict.fromkeys(told)], "output long, times int")
     totals = mechanism.totals(near).select(F.col("source").alias("candidate"), "total")
-    hops = graphs.ball(near, mechanism.graph.edges, mechanism.radius - 1).select(F.col("source").alias("candidate"), F.col("node_id").alias("output"), "hop")
+    # Hops are the same both ways, so the balls of the outputs, as many as were told, hold those of the candidates.
+    hops = mechanism.balls(times.select(F.col("output").alias("node_id"))).select(F.col("source").alias("output"), F.col("node_id").alias("candidate"), "hop")
     prior = mechanism.graph.nodes.select(F.col("node_id").alias("candidate"), F.log(F.col("prior").cast("double")).alias("lp"))
     to = mechanism.graph.nodes.select(F.col("node_id").alias("output"), "prior")
-    pairs = totals.join(F.broadcast(times.join(to, "output"))).join(hops, ["candidate", "output"], "left")
+    pairs = totals.withColumn("o", F.explode(F.array(*(F.lit(o) for o in dict.fromkeys(told))))).withColumnRenamed("o", "output").join(F.broadcast(times.join(to, "output")), "output").join(hops, ["candidate", "output"], "left")
     like = F.col("times") * (F.log(F.col("prior").cast("double")) - F.coalesce("hop", F.lit(mechanism.radius)) * (mechanism.epsilon / 2) - F.log("total"))
-    scores = pairs.groupBy("candidate").agg(F.sum(like).alias("ll")).join(prior, "candidate").withColumn("s", F.col("ll") + F.col("lp"))
-    whole = Window.partitionBy(F.lit(1))
-    shifted = scores.withColumn("e", F.exp(F.col("s") - F.max("s").over(whole)))
-    return shifted.select("candidate", (F.col("e") / F.sum("e").over(whole)).alias("probability"))
+    scores = settled(pairs.groupBy("candidate").agg(F.sum(like).alias("ll")).join(prior, "candidate").select("candidate", (F.col("ll") + F.col("lp")).alias("s")), "scores")
+    most = scores.agg(F.max("s")).first()[0]
+    scaled = scores.withColumn("e", F.exp(F.col("s") - F.lit(most)))
+    total = scaled.agg(F.sum("e")).first()[0]
+    return scaled.select("candidate", (F.col("e") / F.lit(total)).alias("probability"))
 
 
 def attack(after: DataFrame, truth: int) -> DataFrame:
     """One row: candidates, top_guess, top_probability, truth_considered, truth_rank and truth_probability (null if not considered)."""
-    ranked = after.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("probability"), "candidate")))
     hit = F.col("candidate") == truth
-    return ranked.agg(
-        F.count("*").alias("candidates"), F.max(F.when(F.col("r") == 1, F.col("candidate"))).alias("top_guess"), F.max("probability").alias("top_probability"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("truth_considered"), F.max(F.when(hit, F.col("r"))).alias("truth_rank"), F.max(F.when(hit, F.col("probability"))).alias("truth_probability")
+    found = after.agg(F.max(F.when(hit, F.col("probability")))).first()[0]  # one number
+    p = F.lit(found).cast("double")
+    before = (F.col("probability") > p) | ((F.col("probability") == p) & (F.col("candidate") < truth))
+    top = F.min(F.struct(-F.col("probability"), F.col("candidate").alias("c")))["c"]
+    return after.agg(
+        F.count("*").alias("candidates"), top.alias("top_guess"), F.max("probability").alias("top_probability"), F.lit(found is not None).alias("truth_considered"), F.when(p.isNotNull(), (F.count_if(before) + 1).cast("int")).alias("truth_rank"), p.alias("truth_probability")
     )
 
 
 def independent_releases(mechanism: HopMechanism, code: str, count: int, seed: int) -> list[int]:
     """Outputs of one code under fresh keys."""
-    rng, name = np.random.default_rng(seed), codes.canonical_text(code)
-    dist = exact.Distribution(mechanism.local(), mechanism.graph.index_of(code), mechanism.epsilon, mechanism.radius)
+    rng, name, dist = np.random.default_rng(seed), codes.canonical_text(code), mechanism.distribution_of(code)
     return [dist.sample(Key.from_bytes(rng.bytes(32)), b"subject", name.encode()) for _ in range(count)]
 
 
 def keyed_releases(mechanism: HopMechanism, code: str, count: int, key: Key) -> list[int]:
     """Outputs of one code under one key: one value, count times."""
-    name = codes.canonical_text(code)
-    dist = exact.Distribution(mechanism.local(), mechanism.graph.index_of(code), mechanism.epsilon, mechanism.radius)
-    return [dist.sample(key, b"subject", name.encode())] * count
+    return [mechanism.distribution_of(code).sample(key, b"subject", codes.canonical_text(code).encode())] * count
 
 
 def scenario_summary(results: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +20,12 @@ from spindrift.functions import codes, exact
 from spindrift.functions.exact import Key
 from spindrift.operators import graph as graphs
 from spindrift.operators.nodes import looked_up
+from spindrift.tables import settled
 
-#: Edges up to which the graph is broadcast to the workers; 16 bytes each.
-BROADCAST_EDGES = 50_000_000
+#: Edges up to which the graph is broadcast to the workers (8 bytes each, and 24 a node); nodes whose rows joins broadcast.
+BROADCAST_EDGES, BROADCAST_NODES = 50_000_000, 5_000_000
+#: Rows of an Arrow batch that a worker sends.
+SENT = 1 << 16
 POLICIES = ("error", "null", "drop")
 
 
@@ -32,9 +38,96 @@ class PlaceGraph:
     excluded: DataFrame
     meta: dict = field(default_factory=dict)
 
-    def n_nodes(self) -> int:
+    @cached_property
+    def size(self) -> int:
         return self.nodes.count()
 
+    def n_nodes(self) -> int:
+        return self.size
+
+    @cached_property
+    def fits(self) -> bool:
+        """Whether the graph may be broadcast; the relational form does the rest."""
+        return self.edges.count() <= BROADCAST_EDGES
+
+    def beside(self, df: DataFrame) -> DataFrame:
+        """Rows of nodes, broadcast in joins while there are few enough nodes."""
+        return F.broadcast(df) if self.size <= BROADCAST_NODES else df
+
+    @cached_property
+    def local(self) -> exact.Graph:
+        """The graph as arrays, for workers; only while it fits."""
+        if not self.fits:
+            raise ValueError(f"a graph of over {BROADCAST_EDGES} edges does not fit into workers; use the relational operators")
+        got = self.edges.select("a", "b").toArrow()
+        prior = self.nodes.select("node_id", "prior").orderBy("node_id").toArrow()["prior"].to_numpy()
+        return exact.Graph.of(self.size, got["a"].to_numpy(), got["b"].to_numpy(), prior)
+
+    @cached_property
+    def held(self) -> Broadcast:
+        return self.nodes.sparkSession.sparkContext.broadcast(self.local)
+
+    def _expanded(self, sources: DataFrame, radius: int, schema: str, of: Callable[[exact.Graph, int, list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+        """source and what `of` makes of the shells of each source up to the radius; each source is expanded once, in one task."""
+        held, spark = self.held, sources.sparkSession
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def sent(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            graph, parts, size = held.value, [], 0
+            for batch in batches:
+                for source in batch.column(0).to_pylist():
+                    made = of(graph, source, graph.shells(source, radius + 1))
+                    parts.append([np.full(len(made[0]), source, np.int64), *made])
+                    size += len(made[0])
+                    if size >= SENT:
+                        yield sent(parts)
+                        parts, size = [], 0
+            if parts:
+                yield sent(parts)
+
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return sources.select("node_id").where("node_id is not null").repartition(n, "node_id").distinct().mapInArrow(run, schema)
+
+    def ball(self, sources: DataFrame, radius: int) -> DataFrame:
+        """source, node_id, hop, prior of all nodes within radius hops of each source (node_id)."""
+        if not self.fits:
+            return graphs.ball(sources, self.edges, radius).join(self.beside(self.nodes.select("node_id", "prior")), "node_id").select("source", "node_id", "hop", "prior")
+
+        def of(graph: exact.Graph, source: int, shells: list[np.ndarray]) -> list[np.ndarray]:
+            nodes = np.concatenate(shells).astype(np.int64)
+            return [nodes, np.repeat(np.arange(len(shells), dtype=np.int32), [len(s) for s in shells]), graph.prior[nodes]]
+
+        return self._expanded(sources, radius, "source long, node_id long, hop int, prior long", of)
+
+    def shells(self, sources: DataFrame, radius: int) -> DataFrame:
+        """source, hop, nodes, prior of each shell within radius hops of each source."""
+        if not self.fits:
+            return self.ball(sources, radius).groupBy("source", "hop").agg(F.count("*").alias("nodes"), F.sum("prior").alias("prior"))
+
+        def of(graph: exact.Graph, source: int, shells: list[np.ndarray]) -> list[np.ndarray]:
+            shells = [s for s in shells if len(s)]
+            return [np.arange(len(shells), dtype=np.int32), np.array([len(s) for s in shells], np.int64), np.array([graph.prior[s].sum() for s in shells], np.int64)]
+
+        return self._expanded(sources, radius, "source long, hop int, nodes long, prior long", of)
+
+    def every_hop(self, sources: DataFrame, radius: int) -> DataFrame:
+        """source, node_id, hop (null beyond the radius), prior: all nodes for each source, which is what was asked for."""
+        if not self.fits:
+            reach = graphs.ball(sources, self.edges, radius)
+            return sources.select(F.col("node_id").alias("source")).distinct().join(self.nodes.select("node_id", "prior")).join(reach, ["source", "node_id"], "left").select("source", "node_id", "hop", "prior")
+
+        def of(graph: exact.Graph, source: int, shells: list[np.ndarray]) -> list[np.ndarray]:
+            hop = np.full(len(graph.prior), -1, np.int32)
+            for k, shell in enumerate(shells):
+                hop[shell] = k
+            return [np.arange(len(hop)), hop, graph.prior]
+
+        every = self._expanded(sources, radius, "source long, node_id long, hop int, prior long", of)
+        return every.withColumn("hop", F.when(F.col("hop") >= 0, F.col("hop")))
+
     def index_of(self, code: str) -> int:
         """A code's node; raises for codes that are invalid, excluded or unknown."""
         name = codes.canonical_text(code)
@@ -70,7 +163,7 @@ class HopMechanism:
         self.radius = radius or derived
         if self.radius < derived:
             warnings.warn(f"radius {self.radius} lets outputs land anywhere with a chance of up to {min(1.0, exact.teleport_bound(**bounds, radius=self.radius)):.2g}; {derived} would keep it under {max_teleport:.2g}", RadiusTooSmall, stacklevel=2)
-        self._local: exact.Graph | None = None
+        self._cached: dict[int, exact.Distribution] = {}
 
     # -- relational form: exact hops, weights in double ---------------------------------------
 
@@ -80,12 +173,11 @@ class HopMechanism:
 
     def balls(self, codes_df: DataFrame) -> DataFrame:
         """source, node_id, hop below the radius, prior, for each node of codes_df (node_id)."""
-        reach = graphs.ball(codes_df, self.graph.edges, self.radius - 1)
-        return reach.join(self.graph.nodes.select("node_id", "prior"), "node_id")
+        return self.graph.ball(codes_df, self.radius - 1)
 
     def shells(self, codes_df: DataFrame) -> DataFrame:
-        """source, hop, nodes, prior of each shell."""
-        return self.balls(codes_df).groupBy("source", "hop").agg(F.count("*").alias("nodes"), F.sum("prior").alias("prior"))
+        """source, hop, nodes, prior of each shell below the radius."""
+        return self.graph.shells(codes_df, self.radius - 1)
 
     def totals(self, codes_df: DataFrame) -> DataFrame:
         """source, ball_size, tail_prior, ball_weight, tail_weight, total."""
@@ -95,12 +187,9 @@ class HopMechanism:
 
     def distribution(self, codes_df: DataFrame) -> DataFrame:
         """source, node_id, hop (null beyond the radius), probability of every node for each source."""
-        totals = self.totals(codes_df).select("source", "total")
-        every = self.graph.nodes.select("node_id", "prior").join(F.broadcast(totals) if codes_df.count() <= 1000 else totals)
-        hops = graphs.ball(codes_df, self.graph.edges, self.radius - 1)
-        joined = every.join(hops, ["source", "node_id"], "left")
+        totals = F.broadcast(self.totals(codes_df).select("source", "total")) if codes_df.count() <= 1000 else self.totals(codes_df).select("source", "total")
         weight = F.col("prior") * F.exp(-F.coalesce("hop", F.lit(self.radius)) * F.lit(self.epsilon / 2))
-        return joined.select("source", "node_id", "hop", (weight / F.col("total")).alias("probability"))
+        return self.graph.every_hop(codes_df, self.radius - 1).join(totals, "source").select("source", "node_id", "hop", (weight / F.col("total")).alias("probability"))
 
     def report(self, codes_df: DataFrame) -> DataFrame:
         """source, ball_size, teleport_probability, self_probability."""
@@ -110,30 +199,46 @@ class HopMechanism:
     # -- sampling -----------------------------------------------------------------------------
 
     def local(self) -> exact.Graph:
-        """The graph as arrays, for workers; only up to BROADCAST_EDGES edges."""
-        if self._local is None:
-            edges = self.graph.edges.select("a", "b")
-            if edges.count() > BROADCAST_EDGES:
-                raise ValueError(f"a graph of over {BROADCAST_EDGES} edges does not fit into workers; use the relational operators")
-            got = edges.toArrow()
-            prior = self.graph.nodes.select("node_id", "prior").orderBy("node_id").toArrow()["prior"].to_numpy()
-            self._local = exact.Graph.of(self.n, got["a"].to_numpy(), got["b"].to_numpy(), prior)
-        return self._local
+        return self.graph.local
+
+    def distribution_of(self, code: str) -> exact.Distribution:
+        """The exact weights around a code; remembered until clear_cache()."""
+        node = self.graph.index_of(code)
+        if node not in self._cached:
+            self._cached[node] = exact.Distribution(self.local(), node, self.epsilon, self.radius)
+        return self._cached[node]
+
+    def cache_size(self) -> int:
+        return len(self._cached)
+
+    def clear_cache(self) -> None:
+        self._cached.clear()
 
     def perturb(self, code: str, subject: str, key: Key) -> str:
-        node = exact.Distribution(self.local(), self.graph.index_of(code), self.epsilon, self.radius).sample(key, subject.encode(), codes.canonical_text(code).encode())
+        node = self.distribution_of(code).sample(key, str(subject).encode(), codes.canonical_text(code).encode())
         return self.graph.nodes.where(F.col("node_id") == node).select("code").first()["code"]
 
+    def perturb_many(self, code_list: list[str], subjects: list, *, key: Key, on_error: str = "error") -> list[str | None]:
+        """The outputs of two lists of one length, in their order ("drop" leaves failed ones out); the lists are the caller's, so
+        are what comes back."""
+        if len(code_list) != len(subjects):
+            raise ValueError("codes and subjects are of one length")
+        spark = self.graph.nodes.sparkSession
+        kind = "string" if all(x is None or isinstance(x, str) for x in subjects) else "long"
+        rows = spark.createDataFrame(list(zip(range(len(subjects)), code_list, subjects, strict=True)), f"k int, code string, subject {kind}")
+        got = self.perturb_frame(rows, "code", "subject", key, "out", on_error).orderBy("k").collect()
+        return [r["out"] for r in got]
+
     def drawn(self, rows: DataFrame, key: Key, subject: str, out: str) -> DataFrame:
-        """rows (with code, node_id: nulls get null) with the drawn node in `out`.
+        """rows (with code, node_id and salts: nulls of node_id get null) with the drawn node in `out`, without salts.
 
-        Rows are dealt by code and a salt of their subject, and sorted by code: a worker expands a ball once for each code that
-        it holds, and the rows of a hot code are spread over SALTS workers.
+        Rows are dealt by code and sorted by it, so a ball is expanded once for each code. Those of a code with many rows
+        are spread by a salt of their subject over as many parts as `salts` says.
         """
-        held, epsilon, radius = rows.sparkSession.sparkContext.broadcast((self.local(), key)), self.epsilon, self.radius
+        graph, secret, epsilon, radius = self.graph.held, rows.sparkSession.sparkContext.broadcast(key), self.epsilon, self.radius
+        expanded = self.expanded = rows.sparkSession.sparkContext.accumulator(0)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            graph, secret = held.value
             last, dist = None, None
             for batch in batches:
                 names = batch.schema.names
@@ -144,20 +249,22 @@ class HopMechanism:
                         got.append(None)
                         continue
                     if n != last:
-                        last, dist = n, exact.Distribution(graph, n, epsilon, radius)
-                    got.append(dist.sample(secret, str(s).encode(), c.encode()))
+                        last, dist = n, exact.Distribution(graph.value, n, epsilon, radius)
+                        expanded.add(1)
+                    got.append(dist.sample(secret.value, str(s).encode(), c.encode()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], names=[*names, out])
 
         # A fixed number of partitions: the work is in the workers, so small partitions are not to be put together.
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(subject), F.lit(SALTS))).repartition(n, "code", "__salt").drop("__salt").sortWithinPartitions("code", "node_id")
-        return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.LongType())]))
+        dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(subject), F.coalesce("salts", F.lit(1)))).drop("salts").repartition(n, "code", "__salt").drop("__salt").sortWithinPartitions("code", "node_id")
+        return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField(out, T.LongType())]))
 
     def perturb_frame(self, df: DataFrame, code_col: str, subject_col: str, key: Key, out_col: str = "place_dp", on_error: str = "error") -> DataFrame:
         """df with the output code of each row in out_col.
 
         on_error: "error" raises if a code is large_user or unknown, "null" leaves null, "drop" leaves the row out.
-        Invalid codes and missing subjects raise in any case; errors tell how many rows, never values.
+        Invalid codes and missing subjects raise in any case; errors tell how many rows and the numbers of the first ones,
+        never values. One pass counts the rows of each code, what is missing and what is hot; another one draws.
         """
         if on_error not in POLICIES:
             raise ValueError(f"on_error is one of {POLICIES}")
@@ -169,27 +276,45 @@ class HopMechanism:
         kind = df.schema[subject_col].dataType
         if not isinstance(kind, (T.StringType, T.IntegralType)):
             raise TypeError("subjects are text or integers")
-        n_missing = df.where(codes.missing(F.col(subject_col))).count()
-        if n_missing:
-            raise MissingSubject(f"{n_missing} rows have no subject")
-        found = looked_up(df.select(*(F.col(c).alias(f"u_{c}") for c in df.columns)), f"u_{code_col}", self.graph.nodes, self.graph.excluded)
-        counts = {r["status"]: r["n"] for r in found.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        if counts.get("invalid"):
-            raise codes.InvalidPlaceCode(f"{counts['invalid']} rows have no valid place code")
+        rows = df.select(*(F.col(c).alias(f"u_{c}") for c in df.columns)).withColumn("code", codes.canonical(F.col(f"u_{code_col}")))
+        lost = codes.missing(F.col(f"u_{subject_col}"))
+        per = rows.groupBy("code").agg(F.count("*").alias("n"), F.count_if(lost).alias("lost")).withColumnRenamed("code", "name")
+        per = settled(looked_up(per, "name", self.graph.nodes, self.graph.excluded), "codes")
+        counts = {r["status"]: r for r in per.groupBy("status").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"), F.count("*").alias("codes")).collect()}
+        if n := sum(r["lost"] for r in counts.values()):
+            raise MissingSubject(f"{n} rows have no subject: {row_numbers(rows, lost)}")
+        refused = [("invalid", codes.InvalidPlaceCode, "no valid place code")]
         if on_error == "error":
-            if counts.get("large_user"):
-                raise LargeUserCode(f"{counts['large_user']} rows have a code of a single organisation")
-            if counts.get("unknown"):
-                raise UnknownPlaceCode(f"{counts['unknown']} rows have a code that the graph lacks")
-        if on_error == "drop":
-            found = found.where("status = 'ok'")
-        drawn = self.drawn(found.drop("status"), key, f"u_{subject_col}", "__node")
-        names = self.graph.nodes.select(F.col("node_id").alias("__node"), F.col("code").alias("__out"))
+            refused += [("large_user", LargeUserCode, "a code of a single organisation"), ("unknown", UnknownPlaceCode, "a code that the graph lacks")]
+        for status, error, text in refused:
+            if status in counts:
+                marked = rows.join(F.broadcast(per.where(F.col("status") == status).select("code", F.lit(True).alias("hit")).limit(1000)), "code", "left")
+                raise error(f"{counts[status]['n']} rows have {text}: {row_numbers(marked, F.col('code').isNull() if status == 'invalid' else F.col('hit'))}")
+        known = per.where("status = 'ok'").select("code", "node_id", F.ceil(F.col("n") / HOT_ROWS).alias("salts"))
+        known = self.graph.beside(known)  # as many rows as the graph has nodes at most
+        found = rows.join(known, "code", "inner" if on_error == "drop" else "left")
+        drawn = self.drawn(found, key, f"u_{subject_col}", "__node")
+        names = self.graph.beside(self.graph.nodes.select(F.col("node_id").alias("__node"), F.col("code").alias("__out")))
         return drawn.join(names, "__node", "left").select(*(F.col(f"u_{c}").alias(c) for c in df.columns), F.col("__out").alias(out_col))
 
+    def largest_teleport(self, released: DataFrame, code_col: str) -> float | None:
+        """The largest teleport probability of the codes of a release that the graph has; None without any."""
+        used = released.select(codes.canonical(F.col(code_col)).alias("code")).distinct().join(self.graph.nodes.select("code", "node_id"), "code").select("node_id")
+        return self.report(used).agg(F.max("teleport_probability")).first()[0]
+
+
+#: Rows of a code that one task takes; the rows of codes with more are spread.
+HOT_ROWS = 100_000
 
-#: Workers over which the rows of one code are spread at most.
-SALTS = 8
+
+def row_numbers(rows: DataFrame, condition: Column | None = None, limit: int = 10) -> str:
+    """Numbers, from 0 in the order of the input's partitions, of the first rows under a condition."""
+    at = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id())
+    sizes = {r["__part"]: r["n"] for r in at.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    hit = at if condition is None else at.where(condition)
+    first = [r["__at"] for r in hit.select("__at").orderBy("__at").limit(limit + 1).collect()]
+    numbers = [sum(n for p, n in sizes.items() if p < x >> 33) + (x & (1 << 33) - 1) for x in first]
+    return "rows " + ", ".join(map(str, numbers[:limit])) + (" and more" if len(numbers) > limit else "")
 
 
 def hmac_sha256_hex(secret: bytes, message: F.Column) -> F.Column:
@@ -202,9 +327,27 @@ def hmac_sha256_hex(secret: bytes, message: F.Column) -> F.Column:
 
 
 def weighted_quantiles(df: DataFrame, group: list[str], value: str, weight: str, quantiles: dict[str, float]) -> DataFrame:
-    """Per group, the first value at which the running weight reaches each share of all; 0 without weight."""
-    order = Window.partitionBy(*group).orderBy(value, "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumn("__tie", F.monotonically_increasing_id()).withColumn("__run", F.sum(weight).over(order)).withColumn("__all", F.sum(weight).over(Window.partitionBy(*group)))
-    return run.groupBy(*group).agg(*(F.coalesce(F.min(F.when((F.col("__run") >= q * F.col("__all") * (1 - 1e-12)) & (F.col("__all") > 0), F.col(value))), F.lit(0.0)).alias(name) for name, q in quantiles.items()))
+    """Per group, the first value at which the running weight reaches each share of all; 0 without weight.
+
+    Equal values of a group are added up first. A group of any size is cut by ranges of its values: sums run within a
+    part, and start at those of the group's earlier parts.
+    """
+    order = [*group, value]
+    laid = df.groupBy(*order).agg(F.sum(weight).alias("__w")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    laid = settled(laid, "ranges")
+    parts = laid.groupBy(*group, "__part").agg(F.sum("__w").alias("__of"))
+    every, earlier = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*group, "__part", F.coalesce(F.sum("__of").over(earlier), F.lit(0)).alias("__before"), F.sum("__of").over(every).alias("__all"))
+    within = Window.partitionBy("__part", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    run = laid.withColumn("__run", F.sum("__w").over(within)).join(parts, [*group, "__part"]).withColumn("__run", F.col("__run") + F.col("__before"))
+    return _reached(run, group, value, quantiles)
 
 
+def ball_quantiles(balls: DataFrame, group: list[str], value: str, weight: str, quantiles: dict[str, float]) -> DataFrame:
+    """The same where a group is a ball, and so no larger than the graph: one sort of each."""
+    order = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return _reached(balls.withColumn("__run", F.sum(weight).over(order)).withColumn("__all", F.sum(weight).over(Window.partitionBy(*group))), group, value, quantiles)
+
+
+def _reached(run: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    return run.groupBy(*group).agg(*(F.coalesce(F.min(F.when((F.col("__run") >= q * F.col("__all") * (1 - 1e-12)) & (F.col("__all") > 0), F.col(value))), F.lit(0.0)).alias(name) for name, q in quantiles.items()))

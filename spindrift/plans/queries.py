@@ -229,12 +229,7 @@ def assembled_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f", {_LENGTHS}, inside AS (SELECT node_id FROM nodes WHERE abs(easting - 350000) < 200000 AND abs(northing - 650000) < 400000) SELECT a, b FROM measured WHERE metres <= 300000 AND a IN (SELECT node_id FROM inside) AND b IN (SELECT node_id FROM inside)")
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at, measured = _measured(spark, sf_dir)
-    east = at.where(F.abs(F.col("easting") - 350000) < 200000).where(F.abs(F.col("northing") - 650000) < 400000).select("node_id")
-    out = measured.where("metres <= 300000")
-    for end in ("a", "b"):
-        out = out.join(east.withColumnRenamed("node_id", end), end, "left_semi")
-    return out.select("a", "b")
+    return graph.induced(*_measured(spark, sf_dir), 350000, 650000, 200000, 400000, 300000).select("a", "b")
 
 
 # -- balls and the mechanism --------------------------------------------------------------------

@@ -9,13 +9,11 @@ import re
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from importlib.metadata import version
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.errors import ArtefactVersionError
-from spindrift.functions import exact
 from spindrift.operators.mechanism import HopMechanism, PlaceGraph
 
 SCHEMA_VERSION, ALGORITHM_VERSION = 1, 1
@@ -71,7 +69,12 @@ def _files(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = _files(spark, path)
+    return fs.exists(hadoop)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     hadoop, fs = _files(spark, path)
     out = fs.create(hadoop, False)
     out.write(bytearray(text.encode()))
@@ -90,7 +93,7 @@ def save_graph(graph: PlaceGraph, path: str, provenance: Provenance) -> dict:
     graph.edges.select("a", "b").write.parquet(f"{path}/edges")
     graph.excluded.select("code").write.parquet(f"{path}/excluded")
     meta = {"schema_version": SCHEMA_VERSION, "algorithm_version": ALGORITHM_VERSION, "provenance": asdict(provenance)}
-    _write_text(spark, f"{path}/metadata.json", json.dumps(meta, indent=1, sort_keys=True))
+    write_text(spark, f"{path}/metadata.json", json.dumps(meta, indent=1, sort_keys=True))
     return meta
 
 
@@ -110,14 +113,23 @@ def digest(graph: PlaceGraph) -> str:
 
 
 def release_manifest(mechanism: HopMechanism, released: DataFrame, code_col: str, out_col: str, policy: str, kept_source: bool, rows_in: int) -> DataFrame:
-    """One row on a release: settings, rows, distinct spellings and largest teleport probability."""
+    """One row on a release: settings, rows, distinct spellings, the largest teleport probability of its codes (null without any)
+    beside the ceiling that was asked for, and where the graph came from."""
     m, meta = mechanism, mechanism.graph.meta
     done = released.agg(F.count("*").alias("rows_out"), F.count(out_col).alias("rows_perturbed"), F.count_distinct(code_col).alias("distinct_codes"))
     return done.select(
-        F.lit(m.epsilon).alias("epsilon"), F.lit(m.radius).alias("radius"), F.lit(m.max_teleport).alias("max_teleport"), F.lit(meta.get("provenance", {}).get("prior", "unknown")).alias("prior"), F.lit(policy).alias("on_error"),
-        F.lit(rows_in).alias("rows_in"), "rows_out", "rows_perturbed", (F.lit(rows_in) - F.col("rows_perturbed")).alias("rows_failed"), "distinct_codes", F.lit(out_col).alias("out_col"), F.lit(kept_source).alias("source_kept"), F.lit(digest(m.graph)).alias("graph_digest"),
+        F.lit(m.epsilon).alias("epsilon"), F.lit(m.radius).alias("radius"), F.lit(m.max_teleport).alias("max_teleport"), F.lit(m.largest_teleport(released.where(F.col(out_col).isNotNull()), code_col)).cast("double").alias("largest_teleport"), F.lit(meta.get("provenance", {}).get("prior", "unknown")).alias("prior"), F.lit(policy).alias("on_error"),
+        F.lit(rows_in).alias("rows_in"), "rows_out", "rows_perturbed", (F.lit(rows_in) - F.col("rows_perturbed")).alias("rows_failed"), "distinct_codes", F.lit(out_col).alias("out_col"), F.lit(kept_source).alias("source_kept"), F.lit(digest(m.graph)).alias("graph_digest"), F.lit(json.dumps(meta.get("provenance", {}), sort_keys=True)).alias("graph_provenance"),
     )
 
 
-def file_digest(path: str | Path) -> str:
-    return exact.sha256_file(path)
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file's bytes, of any store that Spark reads; the bytes stream through the driver."""
+    hadoop, fs = _files(spark, path)
+    digest = spark._jvm.java.security.MessageDigest.getInstance("SHA-256")
+    source = spark._jvm.java.security.DigestInputStream(fs.open(hadoop), digest)
+    try:
+        source.transferTo(spark._jvm.java.io.OutputStream.nullOutputStream())
+    finally:
+        source.close()
+    return bytes(digest.digest()).hex()

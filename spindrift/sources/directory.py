@@ -31,8 +31,14 @@ class Directory:
 
 
 def text_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A CSV file with a header, every cell as text; a byte order mark is skipped."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=False, quote='"', escape='"')
+    """A CSV file with a header, every cell as text; a byte order mark is skipped; quoted cells may hold line breaks.
+
+    One pass over the lines tells whether a file may be split at line breaks: where a line has an odd number of quotes,
+    a quoted cell goes on in the next one, and each file is read whole by one task.
+    """
+    odd = (F.length("value") - F.length(F.translate("value", '"', ""))) % 2 == 1
+    broken = not spark.read.text(path).where(odd).isEmpty()
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=broken, quote='"', escape='"')
 
 
 def require(df: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

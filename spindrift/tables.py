@@ -11,9 +11,13 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; one of this machine's own only where all of Spark runs in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spindrift-"))
 
 
@@ -21,4 +25,13 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """df, written and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes a settled table that nothing reads any more, as that of an earlier round."""
+    spark, path = df.sparkSession, df._settled
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -73,3 +73,7 @@ def test_manifest_of_a_release(spark):
     out = m.perturb_frame(rows, "place", "who", Key.from_bytes(bytes(32)))
     got = artefact.release_manifest(m, out, "place", "place_dp", "error", False, 2).first()
     assert got.distinct_codes == 2 and got.rows_failed == 0 and got.graph_digest
+    one = m.graph.nodes.where("node_id = 0").select("node_id")
+    assert got.largest_teleport == m.report(one).first().teleport_probability
+    assert json.loads(got.graph_provenance) == {}
+    assert artefact.release_manifest(m, out.limit(0), "place", "place_dp", "error", False, 0).first().largest_teleport is None

@@ -256,3 +256,77 @@ def test_stratified_samples_share_one_stream(spark):
     want = {("rural", 12 + int(k)) for k in rng.choice(5, 5, replace=False)} | {("urban", int(k)) for k in rng.choice(12, 8, replace=False)}
     assert {(r.group, r.node_id) for r in sample.collect()} == want
     assert notes == ["rural has 5 of 8"]
+
+
+def test_quoted_line_breaks_stay_in_their_cell(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,place\n1,"one\ntwo ""three"""\n2,"four, five"\n')
+    got = directory.read_records(spark, f"{tmp_path}/a.csv").collect()
+    assert [(r.id, r.place) for r in got] == [("1", 'one\ntwo "three"'), ("2", "four, five")]
+    (tmp_path / "b.csv").write_text('id,place\n1,"a ""b"" c"\n')
+    assert directory.read_records(spark, f"{tmp_path}/b.csv").first().place == 'a "b" c'
+
+
+def test_messages_of_key_errors_have_no_quotes():
+    from spindrift.errors import LargeUserCode, UnknownPlaceCode
+
+    assert str(UnknownPlaceCode("no such code")) == "no such code"
+    assert str(LargeUserCode("one organisation")) == "one organisation"
+    assert isinstance(UnknownPlaceCode("x"), KeyError)
+
+
+def test_induced_edges_and_neighbours(spark):
+    from spindrift.operators import geometry, graph
+
+    nodes = spark.createDataFrame([(0, 0, 0), (1, 10, 0), (2, 20, 0), (3, 10, 90), (4, 10, 40)], "node_id long, easting long, northing long")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (1, 3), (1, 4), (0, 2)], "a long, b long")
+    measured = geometry.edge_lengths(edges, nodes)
+    got = graph.induced(nodes, measured, 10, 0, 11, 50, 15.0).select("a", "b").collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (1, 2)]
+    assert sorted(r.node_id for r in graph.neighbours(edges, 1).collect()) == [0, 2, 3, 4]
+
+
+def test_quantiles_of_a_group_over_many_parts(spark):
+    import numpy as np
+
+    from spindrift.operators.mechanism import ball_quantiles, weighted_quantiles
+
+    rng = np.random.default_rng(4)
+    rows = [("hot" if k % 10 else f"g{k % 70}", float(rng.integers(0, 400)), int(rng.integers(0, 9))) for k in range(6000)] + [("none", 3.0, 0)]
+    df = spark.createDataFrame(rows, "g string, v double, w long")
+    q = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 1.0}
+    got = {r.g: tuple(r)[1:] for r in weighted_quantiles(df, ["g"], "v", "w", q).collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted((v, w) for h, v, w in rows if h == g)
+        total = sum(w for _, w in mine)
+        run = np.cumsum([w for _, w in mine])
+        assert got[g] == tuple(mine[int(np.argmax(run >= x * total))][0] if total else 0.0 for x in q.values())
+    assert got == {r.g: tuple(r)[1:] for r in ball_quantiles(df, ["g"], "v", "w", q).collect()}
+
+
+def test_equivalents_of_a_sample_are_those_of_single_codes(spark):
+    from pyspark.sql import functions as F
+
+    from spindrift.operators import measures
+    from tests.graphs import path
+
+    g = path(spark, 60, code=lambda i: f"B{i // 6:02d} {i % 6}AA", step=700)
+    groups = g.nodes.select("node_id", F.when(F.col("node_id") < 30, "urban").otherwise("rural").alias("group"))
+    got, notes = measures.equivalent_epsilons(g, groups, 2, 0)
+    rows = got.join(g.nodes.select("node_id", "code"), "node_id").collect()
+    assert len(rows) == 4 and notes == []
+    for r in rows[:2]:
+        assert np.allclose(measures.equivalent_epsilon(g, r.code), (r.epsilon, r.truncation_km), rtol=1e-9)
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    from spindrift import tables
+
+    class Asked:
+        class conf:
+            get = staticmethod(lambda name, other: other)
+
+        class sparkContext:
+            master, applicationId = "spark://somewhere:7077", "app"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_folder(Asked)
