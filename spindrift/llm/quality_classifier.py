@@ -1,13 +1,15 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a text.
 
-A text is a bag of passages (PASSAGE bytes of UTF-8 each, the whole text). Each passage is encoded by the
-shares of its byte classes and of neighbouring pairs of classes; a hidden layer embeds it; gated attention
-(tanh times sigmoid) weighs it; the weighted mean of the embeddings is scored. Only labels of documents
-train the net, passages have none. The score depends on the text alone.
-
-The net is fitted on the driver on a bounded sample of labelled rows (SAMPLE at most, a documented
-parameter) of folds other than the held-out one. Defined results: a null or empty text is one empty
-passage; without labels of both kinds every score is 0.5; repeated rows score alike; null ids stay.
+A text is a bag of passages (PASSAGE bytes of UTF-8 each, the whole text). Each passage is seen as the shares of its
+byte trigrams, hashed to BUCKETS, and of its byte classes and pairs of neighbouring classes; a learned layer embeds it
+(its trigram part begins small and decays, as it could learn the sample by heart); gated attention (tanh times sigmoid)
+weighs it; the weighted mean of the embeddings is scored. Only labels of documents train the net, passages have none. The
+score depends on the text alone.
+
+The net is fitted on the driver on a bounded sample of labelled rows (SAMPLE at most, and of each MOST passages at
+most, evenly spaced; documented parameters) of folds other than the held-out one. Defined results: a null or empty text is
+one empty passage; without labels of both kinds every score is 0.5; repeated rows score alike; null ids stay; scored texts
+of any length are read whole; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import types as T
 from spindrift.llm.common import appended, column, labelled_sample, packed, ship, slices
 
 PASSAGE, HIDDEN, ATTENTION = 512, 16, 8
-SAMPLE, EPOCHS, RATE = 3000, 160, 0.02
+SAMPLE, MOST, EPOCHS, RATE = 3000, 32, 160, 0.02
+BUCKETS, SMALL, DECAY = 1 << 9, 0.1, 0.01
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 #: Texts are scored in groups of so many bytes; one longer text is a group of its own.
 GROUP = 1 << 20
@@ -34,7 +37,9 @@ CLASSES = len(_KINDS) + 1
 CLASS = np.full(256, CLASSES - 1, np.uint8)
 for _i, _kind in enumerate(_KINDS):
     CLASS[list(_kind)] = _i
-WIDTH = CLASSES + CLASSES * CLASSES + 1
+#: What a passage is seen as: classes, pairs and length, then trigrams.
+KINDS = CLASSES + CLASSES * CLASSES + 1
+WIDTH = KINDS + BUCKETS
 
 
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,15 +47,20 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     raws = [packed(t) for t in texts]
     sizes = np.array([len(r) for r in raws])
     n = np.maximum(1, -(-sizes // PASSAGE))
-    code = CLASS[np.frombuffer(b"".join(raws), np.uint8)].astype(np.int64)
+    plain = np.frombuffer(b"".join(raws), np.uint8)
+    code = CLASS[plain].astype(np.int64)
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     bag = np.repeat(np.cumsum(n) - n, sizes) + (np.arange(len(code)) - begin) // PASSAGE
     total = int(n.sum())
     one = np.bincount(bag * CLASSES + code, minlength=total * CLASSES).reshape(total, CLASSES)
     same = bag[1:] == bag[:-1]
     two = np.bincount((bag[1:] * CLASSES + code[:-1])[same] * CLASSES + code[1:][same], minlength=total * CLASSES * CLASSES).reshape(total, -1)
+    within, wide = bag[2:] == bag[:-2], plain.astype(np.uint32)
+    three = ((wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]) * np.uint32(2654435761)) // np.uint32((1 << 32) // BUCKETS)
+    three = np.bincount((bag[2:] * BUCKETS + three)[within], minlength=total * BUCKETS).reshape(total, -1)
     long = one.sum(1, keepdims=True)
-    return np.hstack([np.sqrt(one / np.maximum(long, 1)), np.sqrt(two / np.maximum(long, 1)), long / PASSAGE]), n
+    shares = [np.sqrt(x / np.maximum(long, 1)) for x in (one, two)]
+    return np.hstack([*shares, long / PASSAGE, np.sqrt(three / np.maximum(three.sum(1, keepdims=True), 1))]), n
 
 
 @dataclass
@@ -71,7 +81,9 @@ class Net:
     def start(seed: int = 3) -> Net:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-        return Net(draw(WIDTH, HIDDEN), np.zeros(HIDDEN), draw(HIDDEN, ATTENTION), draw(HIDDEN, ATTENTION), draw(ATTENTION), draw(HIDDEN), np.zeros(1))
+        w = draw(WIDTH, HIDDEN)
+        w[KINDS:] *= SMALL
+        return Net(w, np.zeros(HIDDEN), draw(HIDDEN, ATTENTION), draw(HIDDEN, ATTENTION), draw(ATTENTION), draw(HIDDEN), np.zeros(1))
 
     def forward(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple]:
         first, bag = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
@@ -98,24 +110,37 @@ class Net:
         return {"w": x.T @ dh, "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "o": z.T @ d, "c": d.sum(keepdims=True)}
 
 
-def train(texts: list[str | None], y: np.ndarray, epochs: int = EPOCHS) -> Net:
-    """Adam on the whole sample; both labels weigh alike in sum."""
-    x, n = passages(texts)
+def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Net:
+    """Adam on the whole sample of bags (rows of passages, and how many each has); both labels weigh alike in sum."""
     net, moved, spread = Net.start(), {}, {}
     each = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
     for k in range(1, epochs + 1):
         for name, g in net.slopes(x, n, y, each).items():
             g = g + 1e-5 * getattr(net, name)
+            if name == "w":
+                g[KINDS:] += DECAY * net.w[KINDS:]
             moved[name] = 0.9 * moved.get(name, 0) + 0.1 * g
             spread[name] = 0.999 * spread.get(name, 0) + 0.001 * g * g
             step = RATE * moved[name] / (1 - 0.9**k) / (np.sqrt(spread[name] / (1 - 0.999**k)) + 1e-8)
-            setattr(net, name, getattr(net, name) - step)
+            setattr(net, name, (getattr(net, name) - step).astype(np.float32))
     return net
 
 
+def sampled(texts: list[str | None]) -> list[bytes]:
+    """Passages of each text, as 32-bit floats; of a text with more than MOST, so many that are evenly spaced."""
+    out = []
+    for t in texts:
+        x, _ = passages([t])
+        out.append(x[np.unique(np.linspace(0, len(x) - 1, min(MOST, len(x))).astype(int))].astype("<f4").tobytes())
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, label: str = "quality") -> Net | None:
-    texts, y = labelled_sample(docs, labels, label, rows, (FOLDS, HELD_OUT))
-    return train(texts, y) if len(y) and y.min() != y.max() else None
+    made, y = labelled_sample(docs, labels, label, rows, sampled, (FOLDS, HELD_OUT))
+    if not len(y) or y.min() == y.max():
+        return None
+    bags = [np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in made]
+    return train(np.concatenate(bags), np.array([len(b) for b in bags]), y)
 
 
 def scores(net: Net | None, texts: list[str | None]) -> np.ndarray:
