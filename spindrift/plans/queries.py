@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from spindrift.tables import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: RADIUS and SMALL are those of the SQL; queries without SQL derive the radius from epsilon and the priors.
-EPSILON, RADIUS, SMALL = 1.0, 6, 4
+#: The mechanism derives its radius from epsilon and the priors, in the queries and in SQL; BALL is that of the plain balls.
+EPSILON, BALL = 1.0, 6
 TEST_KEY = bytes(range(32))
 
 
@@ -32,8 +33,8 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-def mechanism(spark: SparkSession, sf_dir: str, epsilon: float = EPSILON, radius: int | None = RADIUS) -> HopMechanism:
-    return HopMechanism(geo.graph(spark, sf_dir), epsilon, radius)
+def mechanism(spark: SparkSession, sf_dir: str, epsilon: float = EPSILON) -> HopMechanism:
+    return HopMechanism(geo.graph(spark, sf_dir), epsilon)
 
 
 def ball_sql(radius: int, sources: str = "nodes") -> str:
@@ -42,15 +43,25 @@ def ball_sql(radius: int, sources: str = "nodes") -> str:
 reach AS MATERIALIZED (SELECT source, node_id, min(hop) AS hop FROM walk GROUP BY ALL)"""
 
 
-def totals_sql(epsilon: float = EPSILON, radius: int = RADIUS, sources: str = "nodes") -> str:
-    """SQL of reach, near (with prior and weight) and totals(source, ball_size, tail_prior, ball_weight, tail_weight, total)."""
-    return f"""{ball_sql(radius - 1, sources)}, near AS MATERIALIZED (SELECT r.*, prior, easting AS x, northing AS y, area, prior * exp(-{epsilon / 2} * hop) AS w FROM reach r JOIN nodes USING (node_id)),
-half AS (SELECT source, count(*) AS ball_size, (SELECT sum(prior) FROM nodes) - sum(prior) AS tail_prior, sum(w) AS ball_weight FROM near GROUP BY source),
-totals AS MATERIALIZED (SELECT *, tail_prior * exp(-{epsilon / 2} * {radius}) AS tail_weight, ball_weight + tail_prior * exp(-{epsilon / 2} * {radius}) AS total FROM half)"""
+def radius_sql(epsilon: float) -> str:
+    return f"greatest(1, ceil(2 * ln(sum(prior)::DOUBLE / (min(prior)::DOUBLE / (1 - exp(-{epsilon / 2})) * 1e-6)) / {epsilon}))::INT"
 
 
-def displacement_sql(epsilon: float = EPSILON, radius: int = RADIUS) -> str:
-    return f"""{totals_sql(epsilon, radius)}, far AS (SELECT n.*, sqrt((n.x - s.easting)::DOUBLE ** 2 + (n.y - s.northing)::DOUBLE ** 2) / 1000 AS km FROM near n JOIN nodes s ON n.source = s.node_id),
+def totals_sql(epsilon: float = EPSILON, sources: str = "nodes") -> str:
+    """SQL of rad(radius), reach, near (with prior and weight) and totals(source, ball_size, tail_prior, ball_weight, tail_weight, total).
+
+    The places stand in a lattice of 50 columns by their ids, so hops are the differences of rows and columns: no walk
+    over edges, which is how the operators find them.
+    """
+    return f"""rad AS MATERIALIZED (SELECT {radius_sql(epsilon)} AS radius FROM nodes),
+reach AS MATERIALIZED (SELECT s.node_id AS source, t.node_id AS node_id, abs(s.node_id // 50 - t.node_id // 50) + abs(s.node_id % 50 - t.node_id % 50) AS hop FROM {sources} s, nodes t WHERE abs(s.node_id // 50 - t.node_id // 50) + abs(s.node_id % 50 - t.node_id % 50) < (SELECT radius FROM rad)),
+near AS MATERIALIZED (SELECT r.*, prior, easting AS x, northing AS y, area, prior * exp(-{epsilon / 2} * hop) AS w FROM reach r JOIN nodes USING (node_id)),
+half AS (SELECT source, count(*) AS ball_size, (SELECT sum(prior) FROM nodes) - sum(prior) AS tail_prior, sum(w) AS ball_weight, exp(-{epsilon / 2} * (SELECT radius FROM rad)) AS least FROM near GROUP BY source),
+totals AS MATERIALIZED (SELECT *, tail_prior * least AS tail_weight, ball_weight + tail_prior * least AS total FROM half)"""
+
+
+def displacement_sql(epsilon: float = EPSILON) -> str:
+    return f"""{totals_sql(epsilon)}, far AS (SELECT n.*, sqrt((n.x - s.easting)::DOUBLE ** 2 + (n.y - s.northing)::DOUBLE ** 2) / 1000 AS km FROM near n JOIN nodes s ON n.source = s.node_id),
 ran AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY source ORDER BY km, node_id ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY source) AS allw FROM far),
 disp AS MATERIALIZED (SELECT source, sum(km * w) / sum(w) AS mean_km, min(km) FILTER (run >= 0.5 * allw * (1 - 1e-12)) AS median_km, min(km) FILTER (run >= 0.95 * allw * (1 - 1e-12)) AS p95_km FROM ran GROUP BY source),
 own AS MATERIALIZED (SELECT t.*, d.mean_km, d.median_km, d.p95_km, n.prior / total AS self_probability, tail_weight / total AS teleport_probability, n.area, n.grp FROM totals t JOIN disp d USING (source) JOIN nodes n ON n.node_id = t.source)"""
@@ -90,6 +101,12 @@ def usable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("code", F.col("east1m").cast("long").alias("easting"), F.col("north1m").cast("long").alias("northing"), F.col("oa21cd").alias("area"))
 
 
+@query("SELECT CASE WHEN reason IS NULL OR reason <> 'terminated' THEN CASE WHEN starts_with(code, 'BT') THEN 'northern_ireland' ELSE coalesce(reason, 'kept') END ELSE reason END AS reason, count(*) AS n FROM dropped GROUP BY 1")
+def drop_reason_counts_gb_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = directory.classified(geo.raw_directory(spark, sf_dir), gb_only=True)
+    return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT DISTINCT code FROM dropped WHERE reason = 'large_user'")
 def excluded_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory.classified(geo.raw_directory(spark, sf_dir)).where("reason = 'large_user'").select("code").distinct()
@@ -235,10 +252,10 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- balls and the mechanism --------------------------------------------------------------------
 
 
-@query(f", {ball_sql(RADIUS)} SELECT source, hop, count(*) AS nodes FROM reach GROUP BY ALL")
+@query(f", {ball_sql(BALL)} SELECT source, hop, count(*) AS nodes FROM reach GROUP BY ALL")
 def ball_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = geo.graph(spark, sf_dir)
-    return graph.ball(g.nodes, g.edges, RADIUS).groupBy("source", "hop").agg(F.count("*").alias("nodes"))
+    return graph.ball(g.nodes, g.edges, BALL).groupBy("source", "hop").agg(F.count("*").alias("nodes"))
 
 
 @query(f", {totals_sql()} SELECT source, hop, sum(prior)::BIGINT AS prior FROM near GROUP BY ALL")
@@ -256,7 +273,7 @@ def hop_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIRST = "one AS (SELECT min(node_id) AS node_id FROM nodes)"
 
 
-@query(f", {_FIRST}, {totals_sql(sources='one')} SELECT n.node_id AS node_id, hop, round(n.prior * exp(-{EPSILON / 2} * coalesce(hop, {RADIUS})) / total, 9) AS probability FROM nodes n CROSS JOIN totals t LEFT JOIN reach r ON r.node_id = n.node_id")
+@query(f", {_FIRST}, {totals_sql(sources='one')} SELECT n.node_id AS node_id, hop, round(n.prior * exp(-{EPSILON / 2} * coalesce(hop, (SELECT radius FROM rad))) / total, 9) AS probability FROM nodes n CROSS JOIN totals t LEFT JOIN reach r ON r.node_id = n.node_id")
 def distribution_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mechanism(spark, sf_dir)
     one = m.graph.nodes.agg(F.min("node_id").alias("node_id"))
@@ -291,9 +308,9 @@ def radius_by_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_epsilon(spark, sf_dir, exact.radius_for, "int", "radius")
 
 
-@query(f", {_EPSILON_SQL} SELECT epsilon, round(total * exp(-epsilon / 2 * {RADIUS}) / (least / (1 - exp(-epsilon / 2))), 6) AS bound FROM e, s")
+@query(f", {_EPSILON_SQL} SELECT epsilon, round(total * exp(-epsilon / 2 * {BALL}) / (least / (1 - exp(-epsilon / 2))), 6) AS bound FROM e, s")
 def teleport_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_epsilon(spark, sf_dir, lambda **k: round(exact.teleport_bound(**k, radius=RADIUS), 6), "double", "bound")
+    return _by_epsilon(spark, sf_dir, lambda **k: round(exact.teleport_bound(**k, radius=BALL), 6), "double", "bound")
 
 
 _PADS = [bytes(b ^ x for b in TEST_KEY.ljust(64, b"\0")).hex() for x in (0x5C, 0x36)]
@@ -305,7 +322,7 @@ def hmac_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _released(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
-    m = mechanism(spark, sf_dir, radius=None)
+    m = mechanism(spark, sf_dir)
     people = geo.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("subject"), geo.code_of(F.col("o_custkey")).alias("code"))
     return m.perturb_frame(people, "code", "subject", Key.from_bytes(TEST_KEY), on_error=policy)
 
@@ -356,15 +373,15 @@ def area_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.area_preservation(m, all_nodes(m), m.graph.nodes.select("node_id", "area")).select("source", r9("area_preserved"))
 
 
-def _summary_sql(epsilon: float, radius: int, extra: str = "") -> str:
-    return f'{displacement_sql(epsilon, radius)}, {_kept_sql()} SELECT {extra}grp AS "group", count(*) AS "count", round(quantile_cont(median_km, 0.5), 6) AS median_km, round(quantile_cont(p95_km, 0.95), 6) AS p95_km, round(quantile_cont(area_preserved, 0.5), 9) AS area_preserved, round(quantile_cont(self_probability, 0.5), 9) AS median_self_probability FROM own JOIN kept USING (source) GROUP BY grp'
+def _summary_sql(epsilon: float, extra: str = "") -> str:
+    return f'{displacement_sql(epsilon)}, {_kept_sql()} SELECT {extra}grp AS "group", count(*) AS "count", round(quantile_cont(median_km, 0.5), 6) AS median_km, round(quantile_cont(p95_km, 0.95), 6) AS p95_km, round(quantile_cont(area_preserved, 0.5), 9) AS area_preserved, round(quantile_cont(self_probability, 0.5), 9) AS median_self_probability FROM own JOIN kept USING (source) GROUP BY grp'
 
 
 def _rounded_summary(df: DataFrame, *more: str) -> DataFrame:
     return df.select(*more, "group", "count", F.round("median_km", 6).alias("median_km"), F.round("p95_km", 6).alias("p95_km"), r9("area_preserved"), r9("median_self_probability"))
 
 
-@query(f", {_summary_sql(EPSILON, RADIUS)}")
+@query(f", {_summary_sql(EPSILON)}")
 def group_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mechanism(spark, sf_dir)
     return _rounded_summary(measures.group_summary(m, m.graph.nodes.select("node_id", F.col("grp").alias("group")), m.graph.nodes.select("node_id", "area")))
@@ -374,10 +391,10 @@ def group_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epsilon_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = geo.graph(spark, sf_dir)
     sample = g.nodes.select("node_id", F.col("grp").alias("group"))
-    return _rounded_summary(measures.epsilon_table(g, sample, g.nodes.select("node_id", "area"), [0.5, 1.0, 2.0], SMALL), "epsilon")
+    return _rounded_summary(measures.epsilon_table(g, sample, g.nodes.select("node_id", "area"), list(_EPSILONS)), "epsilon")
 
 
-ORACLES["epsilon_translation"] = " UNION ALL ".join(f"SELECT * FROM (WITH {geo.SQL}, {_summary_sql(e, SMALL, f'{e}::DOUBLE AS epsilon, ')})" for e in (0.5, 1.0, 2.0))
+ORACLES["epsilon_translation"] = " UNION ALL ".join(f"SELECT * FROM (WITH {geo.SQL}, {_summary_sql(e, f'{e}::DOUBLE AS epsilon, ')})" for e in _EPSILONS)
 
 
 @query("SELECT split_part(code, ' ', 1) AS outward, count(*) AS members, sum(prior)::BIGINT AS population FROM nodes GROUP BY 1")
@@ -408,41 +425,40 @@ def calibrated_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(got.target, got.epsilon, got.achieved, got.spread, got.sample_size, got.reached)], "target string, epsilon double, achieved double, spread double, sample_size int, reached boolean")
 
 
-@query(f""", {totals_sql(EPSILON, SMALL)}, back AS (SELECT r.source AS output, r.node_id AS candidate, r.prior * exp(-{EPSILON / 2} * hop) / t.total AS w FROM near r JOIN totals t ON t.source = r.node_id)
+@query(f""", {totals_sql()}, back AS (SELECT r.source AS output, r.node_id AS candidate, r.prior * exp(-{EPSILON / 2} * hop) / t.total AS w FROM near r JOIN totals t ON t.source = r.node_id)
 SELECT output, candidate, round(w / sum(w) OVER (PARTITION BY output), 9) AS probability FROM back""")
 def posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mechanism(spark, sf_dir, radius=SMALL)
+    m = mechanism(spark, sf_dir)
     return measures.posterior(m, all_nodes(m)).select("output", "candidate", r9("probability"))
 
 
+#: Hops around the first output that an attacker looks at, and releases of a scenario.
+WITHIN, RELEASES = 10, 20
 _TOLD = [0, 1, 50, 1]
-_AFTER = f"""{totals_sql(EPSILON, SMALL)}, told(output, times) AS (VALUES (0, 1), (1, 2), (50, 1)), near0 AS (SELECT node_id FROM reach WHERE source = 0 AND hop <= 3),
-pairs AS (SELECT c.node_id AS candidate, o.output, times * (ln(n.prior) - {EPSILON / 2} * coalesce(r.hop, {SMALL}) - ln(t.total)) AS ll FROM near0 c CROSS JOIN told o JOIN nodes n ON n.node_id = o.output JOIN totals t ON t.source = c.node_id LEFT JOIN reach r ON r.source = c.node_id AND r.node_id = o.output),
+_AFTER = f"""{totals_sql()}, told(output, times) AS (VALUES (0, 1), (1, 2), (50, 1)), near0 AS (SELECT node_id FROM reach WHERE source = 0 AND hop <= {WITHIN}),
+pairs AS (SELECT c.node_id AS candidate, o.output, times * (ln(n.prior) - {EPSILON / 2} * coalesce(r.hop, (SELECT radius FROM rad)) - ln(t.total)) AS ll FROM near0 c CROSS JOIN told o JOIN nodes n ON n.node_id = o.output JOIN totals t ON t.source = c.node_id LEFT JOIN reach r ON r.source = c.node_id AND r.node_id = o.output),
 scores AS (SELECT candidate, sum(ll) + ln(any_value(n.prior)) AS s FROM pairs JOIN nodes n ON n.node_id = candidate GROUP BY candidate),
 after AS MATERIALIZED (SELECT candidate, exp(s - (SELECT max(s) FROM scores)) / (SELECT sum(exp(s - (SELECT max(s) FROM scores))) FROM scores) AS probability FROM scores)"""
 
 
 @query(f", {_AFTER} SELECT candidate, round(probability, 9) AS probability FROM after")
 def posterior_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mechanism(spark, sf_dir, radius=SMALL)
-    return measures.posterior_after(m, _TOLD, True, 3).select("candidate", r9("probability"))
+    m = mechanism(spark, sf_dir)
+    return measures.posterior_after(m, _TOLD, True, WITHIN).select("candidate", r9("probability"))
 
 
 @query(f""", {_AFTER}, ranked AS (SELECT *, row_number() OVER (ORDER BY probability DESC, candidate) AS r FROM after) SELECT count(*) AS candidates, max(candidate) FILTER (r = 1) AS top_guess, round(max(probability), 9) AS top_probability, bool_or(candidate = 1) AS truth_considered, (max(r) FILTER (candidate = 1))::INT AS truth_rank, round(max(probability) FILTER (candidate = 1), 9) AS truth_probability FROM ranked""")
 def attack_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mechanism(spark, sf_dir, radius=SMALL)
-    return measures.attack(measures.posterior_after(m, _TOLD, True, 3), 1).withColumns({c: F.round(c, 9) for c in ("top_probability", "truth_probability")})
+    m = mechanism(spark, sf_dir)
+    return measures.attack(measures.posterior_after(m, _TOLD, True, WITHIN), 1).withColumns({c: F.round(c, 9) for c in ("top_probability", "truth_probability")})
 
 
 @query()
 def attack_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mechanism(spark, sf_dir, radius=None)
-    code = m.graph.nodes.where("node_id = 5").select("code").first()["code"]
-    told = {"one": (measures.independent_releases(m, code, 1, 0), True), "independent": (measures.independent_releases(m, code, 8, 0), True), "keyed": (measures.keyed_releases(m, code, 8, Key.from_bytes(TEST_KEY)), False)}
-    out = None
-    for name, (outputs, free) in told.items():
-        row = measures.attack(measures.posterior_after(m, outputs, free, 3), 5).withColumn("scenario", F.lit(name))
-        out = row if out is None else out.union(row)
-    return measures.scenario_summary(out)
-
-
+    m = HopMechanism(geo.graph(spark, sf_dir), 2.0)
+    out = []
+    for r in measures.sample_places(m.graph, 4, 0).orderBy("node_id").collect():
+        free, keyed = measures.independent_releases(m, r["code"], RELEASES, 0), measures.keyed_releases(m, r["code"], RELEASES, Key.from_bytes(TEST_KEY))
+        for name, outputs, independent in (("one", free[:1], True), ("independent", free, True), ("keyed", keyed, False)):
+            out.append(measures.attack(measures.posterior_after(m, outputs, independent, WITHIN), r["node_id"]).withColumn("scenario", F.lit(name)))
+    return measures.scenario_summary(reduce(DataFrame.union, out))
