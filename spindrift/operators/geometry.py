@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.triangulation import location_edges
+from spindrift.tables import settled
 
 NEIGHBOURS, ALPHA, MAX_EDGE_KM = 6, 3.0, 50.0
 
@@ -44,7 +45,8 @@ def local_scale(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     Places are looked up in a grid: the nearest ones are certain once as many as needed lie within one cell's
     width; places without that look again in a grid of twice the width.
     """
-    spots = nodes.groupBy(F.col("easting").alias("x"), F.col("northing").alias("y")).agg(F.count("*").alias("m")).persist()
+    spots = nodes.groupBy(F.col("easting").alias("x"), F.col("northing").alias("y")).agg(F.count("*").alias("m"))
+    spots = settled(spots, "spots")
     s = spots.agg(F.sum("m").alias("n"), F.count("*").alias("places"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     n = s["n"] or 0
     k = min(neighbours, n - 1)
@@ -64,7 +66,7 @@ def local_scale(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
         lists = near.groupBy("x", "y", "m").agg(F.array_sort(F.collect_list(F.struct("d", "ox", "oy", "om"))).alias("l"))
         lists = lists.withColumn("d", F.slice(F.flatten(F.transform("l", lambda e: F.array_repeat(e["d"], e["om"].cast("int")))), 1, k))
         certain = (F.size("d") == k) & (F.element_at("d", k) <= width) if width < side else F.lit(True)
-        seen = lists.withColumn("certain", certain).persist()
+        seen = settled(lists.withColumn("certain", certain), "near")
         middle = (F.element_at("d", (k + 1) // 2) + F.element_at("d", k // 2 + 1)) / 2
         part = seen.where("certain").select("x", "y", middle.alias("scale"))
         done = part if done is None else done.union(part)

@@ -1,8 +1,10 @@
 """Delaunay triangulation of integer points, exactly, in tiles.
 
 A tile's kernel sees the tile and a halo around it. A triangle is certain when the part of its circumcircle
-that lies in the box of all points also lies in what the kernel saw. A tile whose triangles are not all
-certain is done again with a wider halo, in the end with all points.
+that lies in the box of all points also lies in what the kernel saw; an edge of the kernel's hull is certain when it is
+one of the hull of all points, whose corners are found first. A tile whose triangles are not all certain is done again with
+a wider halo, in the end with all points: along straight coasts that is rare, in deep bays, whose triangles reach across,
+it is not.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.tables import settled
+
 #: Points that one kernel is meant to take.
 TILE_POINTS = 4000
 
@@ -102,23 +106,61 @@ def circle(a: tuple[int, int], b: tuple[int, int], c: tuple[int, int]) -> tuple[
     return a[0] + x, a[1] + y, math.hypot(x, y)
 
 
-def _kernel(size: int, halo: int, box: tuple[int, int, int, int], whole: bool):
+def corners(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The corners of the convex hull of sorted distinct points."""
+    out: list[tuple[int, int]] = []
+    for way in (points, points[::-1]):
+        side: list[tuple[int, int]] = []
+        for p in way:
+            while len(side) > 1 and _turn(side[-2], side[-1], p) <= 0:
+                side.pop()
+            side.append(p)
+        out += side[:-1]
+    return out or points
+
+
+def outermost(hull: list[tuple[int, int]], p: tuple[int, int], q: tuple[int, int]) -> bool:
+    """Whether no corner lies to the left of the way from p to q."""
+    return all(_turn(p, q, c) <= 0 for c in hull)
+
+
+def reached(circle: tuple[float, float, float], box: tuple[int, int, int, int]) -> tuple[float, float, float, float]:
+    """The smallest rectangle around the part of a circle that lies in the box; an empty one if none does."""
+    x, y, r = circle
+    past = lambda v, low, high: max(low - v, v - high, 0.0)
+    wide, high = (math.sqrt(max(r * r - d * d, 0.0)) * (1 + 1e-9) + 1e-6 for d in (past(y, box[1], box[3]), past(x, box[0], box[2])))
+    return max(x - wide, box[0]), max(y - high, box[1]), min(x + wide, box[2]), min(y + high, box[3])
+
+
+def _corner_kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    found = corners(sorted(set(zip(pdf.x.astype(int).tolist(), pdf.y.astype(int).tolist(), strict=True))))
+    return pd.DataFrame([(int(key[0]), *p) for p in found], columns=["py", "x", "y"])
+
+
+def hull_of(tiled: DataFrame) -> list[tuple[int, int]]:
+    """The corners of all points (px, py, x, y): of tiles, then of rows of tiles, so that few a row reach the driver."""
+    of_tiles = tiled.groupBy("py", "px").applyInPandas(_corner_kernel, "py long, x long, y long")
+    rows = of_tiles.groupBy("py").applyInPandas(_corner_kernel, "py long, x long, y long").collect()
+    return corners(sorted({(r["x"], r["y"]) for r in rows}))
+
+
+def _kernel(size: int, halo: int, box: tuple[int, int, int, int], hull: list[tuple[int, int]], whole: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tx, ty = (int(v) for v in key)
         points = sorted(set(zip(pdf.x.astype(int).tolist(), pdf.y.astype(int).tolist(), strict=True)))
         seen = (box[0] + (tx - halo) * size, box[1] + (ty - halo) * size, box[0] + (tx + halo + 1) * size, box[1] + (ty + halo + 1) * size)
-        out, certain = set(), True
+        out, certain = set(), whole or len(points) > 1
         own = lambda p: (p[0] - box[0]) // size == tx and (p[1] - box[1]) // size == ty
         for t in triangles(points):
             inner = [k for k in t if k < len(points)]
             if not whole and not any(own(points[k]) for k in inner):
                 continue
             if not whole:
-                if len(inner) < 3:  # a hull edge here need not be one of all points
-                    certain = certain and all(seen[i] <= box[i] for i in (0, 1)) and all(seen[i] > box[i] for i in (2, 3))
-                else:
-                    x, y, r = circle(*(points[k] for k in t))
-                    reach = (max(x - r, box[0]), max(y - r, box[1]), min(x + r, box[2]), min(y + r, box[3]))
+                if len(inner) == 2:  # a hull edge here need not be one of all points
+                    far = next(i for i in range(3) if t[i] >= len(points))
+                    certain = certain and outermost(hull, points[t[far - 2]], points[t[far - 1]])
+                elif len(inner) == 3:
+                    reach = reached(circle(*(points[k] for k in t)), box)
                     certain = certain and reach[0] >= seen[0] and reach[1] >= seen[1] and reach[2] < seen[2] and reach[3] < seen[3]
                 if not certain:
                     break
@@ -146,11 +188,13 @@ def location_edges(points: DataFrame) -> DataFrame:
     across = max(1, math.ceil(math.sqrt(s["n"] / TILE_POINTS)))
     size = -(-side // across)
     tiled = points.withColumn("px", F.expr(f"(x - {box[0]}) div {size}")).withColumn("py", F.expr(f"(y - {box[1]}) div {size}"))
+    hull = hull_of(tiled)
     pending, found, halo = tiled.select(F.col("px").alias("tx"), F.col("py").alias("ty")).distinct(), None, 1
     while True:
         whole = halo >= across
         reach = tiled.withColumn("tx", F.explode(F.sequence(F.col("px") - halo, F.col("px") + halo))).withColumn("ty", F.explode(F.sequence(F.col("py") - halo, F.col("py") + halo)))
-        made = reach.join(pending, ["tx", "ty"], "left_semi").select("tx", "ty", "x", "y").groupBy("tx", "ty").applyInPandas(_kernel(size, halo, box, whole), SCHEMA).persist()
+        made = reach.join(pending, ["tx", "ty"], "left_semi").select("tx", "ty", "x", "y").groupBy("tx", "ty").applyInPandas(_kernel(size, halo, box, hull, whole), SCHEMA)
+        made = settled(made, "tiles")
         done = made.where("ax is not null").select("ax", "ay", "bx", "by")
         found = done if found is None else found.union(done)
         pending = made.where("ax is null").select("tx", "ty")
