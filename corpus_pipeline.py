@@ -3,6 +3,12 @@
 quality rules and quality classifier drop the documents that they reject, the n-gram Jaccard join keeps the
 first document of each group of near copies, benchmark decontamination drops the documents that an item
 contaminates, and piece encoding returns doc_id, n_tokens and ids (little-endian u16) of the rest.
+
+Defined results: a null, empty or short text (under ten words) goes in the first stage; texts of any length are read whole;
+of ties (documents of one group of near copies) the smallest doc_id stays; rows that repeat an id go or stay together in
+the third and fourth stage and are judged one by one in the others; rows with a null doc_id have no group and no item,
+and stay if their text passes; an empty table stays empty; all columns but the last stage's are kept as they are, whatever
+their names.
 """
 
 from __future__ import annotations
