@@ -60,8 +60,11 @@ def placed_ball(graph: PlaceGraph, codes_df: DataFrame, radius: int) -> DataFram
 def displacement(mechanism: HopMechanism, codes_df: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """source, mean_km, median_km, p95_km of outputs below the radius; self_probability, teleport_probability, ball_size.
 
-    placed: a ball of codes_df that was expanded before, to the largest radius that is asked for.
+    placed: a ball of codes_df that was expanded before, to the largest radius that is asked for. Without one, graphs that fit
+    into workers are measured there.
     """
+    if placed is None and mechanism.graph.fits:
+        return mechanism.measured(codes_df)
     placed = placed if placed is not None else placed_ball(mechanism.graph, codes_df, mechanism.radius - 1)
     near = placed.where(F.col("hop") < mechanism.radius).withColumn("w", F.col("prior") * mechanism.factor())
     mean = near.groupBy("source").agg((F.sum(F.col("km") * F.col("w")) / F.sum("w")).alias("mean_km"), F.sum("w").alias("__ball"), F.sum("prior").alias("__prior"), F.count("*").alias("ball_size"), F.max(F.when(F.col("hop") == 0, F.col("prior"))).alias("__own"))
@@ -79,7 +82,7 @@ def sample_report(mechanism: HopMechanism, codes_df: DataFrame) -> DataFrame:
 
 
 def area_preservation(mechanism: HopMechanism, codes_df: DataFrame, areas: DataFrame, placed: DataFrame | None = None) -> DataFrame:
-    """source, area_preserved: chance that an output below the radius has the source's area. areas: node_id, area.
+    """source, area_preserved: chance that an output below the radius has the source's area (0 if it has none). areas: node_id, area.
 
     placed: a ball of codes_df that was expanded before.
     """
@@ -87,7 +90,7 @@ def area_preservation(mechanism: HopMechanism, codes_df: DataFrame, areas: DataF
     of = graph.beside(areas.select(F.col("node_id").alias("source"), F.col("area").alias("home")))
     ball = mechanism.balls(codes_df) if placed is None else placed.where(F.col("hop") < mechanism.radius)
     weight = F.col("prior") * mechanism.factor()
-    per = ball.join(graph.beside(areas.select("node_id", "area")), "node_id", "left").join(of, "source").groupBy("source").agg(
+    per = ball.join(graph.beside(areas.select("node_id", "area")), "node_id", "left").join(of, "source", "left").groupBy("source").agg(
         F.sum(F.when(F.col("area") == F.col("home"), weight).otherwise(0.0)).alias("same"), F.sum(weight).alias("near"), F.sum("prior").alias("prior")
     )
     tail = (F.lit(mechanism.total_prior) - F.col("prior")) * math.exp(-mechanism.epsilon / 2 * mechanism.radius)
@@ -97,10 +100,15 @@ def area_preservation(mechanism: HopMechanism, codes_df: DataFrame, areas: DataF
 def group_summary(mechanism: HopMechanism, sample: DataFrame, areas: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """group, count, median_km, p95_km, area_preserved, median_self_probability. sample: node_id, group.
 
-    One ball of the sample serves all measures; placed: one that was expanded before.
+    One ball of the sample serves all measures, in the worker that expands it where the graph fits; placed: one that was
+    expanded before.
     """
-    placed = placed if placed is not None else placed_ball(mechanism.graph, sample, mechanism.radius - 1)
-    rows = displacement(mechanism, sample, placed).join(area_preservation(mechanism, sample, areas, placed), "source").join(sample.withColumnRenamed("node_id", "source"), "source")
+    if placed is None and mechanism.graph.fits:
+        of = mechanism.measured(sample, areas)
+    else:
+        placed = placed if placed is not None else placed_ball(mechanism.graph, sample, mechanism.radius - 1)
+        of = displacement(mechanism, sample, placed).join(area_preservation(mechanism, sample, areas, placed), "source")
+    rows = of.join(sample.withColumnRenamed("node_id", "source"), "source")
     return rows.groupBy("group").agg(F.count("*").alias("count"), F.expr("percentile(median_km, 0.5)").alias("median_km"), F.expr("percentile(p95_km, 0.95)").alias("p95_km"), F.expr("percentile(area_preserved, 0.5)").alias("area_preserved"), F.expr("percentile(self_probability, 0.5)").alias("median_self_probability"))
 
 
@@ -132,14 +140,15 @@ TARGETS: dict[str, tuple[Callable[[DataFrame], tuple[float, float]], bool]] = {"
 def calibrate(graph: PlaceGraph, target: str, value: float, sample_size: int = 16, seed: int = 0, progress: Callable[[int, int], None] | None = None, most_epsilon: float = MAX_EPSILON, steps: int = STEPS) -> Calibration:
     """The epsilon that meets a target on a sample, by geometric bisection; of the last bracket, the end that meets it.
 
-    Hops of the sample are expanded once, to the radius of the least epsilon or until no node is left, and reused by all steps.
+    Where the graph fits into workers, they expand and measure the balls at each step; otherwise hops are expanded once, to
+    the radius of the least epsilon or until no node is left, and reused by all steps.
     """
     if target not in TARGETS:
         raise UnknownTarget(f"targets are {', '.join(sorted(TARGETS))}")
     measure, rising = TARGETS[target]
     sample = sample_places(graph, sample_size, seed)
     widest = HopMechanism(graph, MIN_EPSILON)
-    placed = placed_ball(graph, sample, widest.radius - 1)
+    placed = None if graph.fits else placed_ball(graph, sample, widest.radius - 1)
     at = lambda e: measure(displacement(HopMechanism(graph, e), sample, placed))
     low, high = MIN_EPSILON, most_epsilon
     ends = sorted((at(low)[0], at(high)[0]))
@@ -172,7 +181,7 @@ def equivalent_epsilon(graph: PlaceGraph, code: str, steps: int = MATCH_STEPS) -
     row = truncation_error(graph, one).first()
     if row is None:
         raise ValueError("the code is alone in its district")
-    placed = placed_ball(graph, one, HopMechanism(graph, MIN_EPSILON).radius - 1)
+    placed = None if graph.fits else placed_ball(graph, one, HopMechanism(graph, MIN_EPSILON).radius - 1)
     low, high = MIN_EPSILON, MAX_EPSILON
     for _ in range(steps):
         middle = math.sqrt(low * high)
@@ -202,9 +211,9 @@ def equivalent_epsilons(graph: PlaceGraph, groups: DataFrame, per_group: int, se
 
 
 def epsilon_table(graph: PlaceGraph, sample: DataFrame, areas: DataFrame, epsilons: list[float], radius: int | None = None) -> DataFrame:
-    """epsilon and group_summary of one sample for each; one ball, as wide as any asks for, serves all."""
+    """epsilon and group_summary of one sample for each; where the graph does not fit into workers, one ball, as wide as any asks for, serves all."""
     made = [HopMechanism(graph, e, radius) for e in epsilons]
-    placed = placed_ball(graph, sample, max(m.radius for m in made) - 1)
+    placed = None if graph.fits else placed_ball(graph, sample, max(m.radius for m in made) - 1)
     return reduce(DataFrame.union, [group_summary(m, sample, areas, placed).withColumn("epsilon", F.lit(m.epsilon)) for m in made])
 
 
@@ -219,6 +228,9 @@ def exposure_percentiles(mechanism: HopMechanism, sample: DataFrame) -> DataFram
 
 def posterior(mechanism: HopMechanism, outputs: DataFrame) -> DataFrame:
     """output, candidate, probability of each candidate within the radius, given one output. outputs: node_id."""
+    if mechanism.graph.fits:
+        reach = mechanism.balls(outputs).select("node_id").distinct()
+        return mechanism.posteriors(outputs, mechanism.totals(reach).select("source", "total"))
     seen = mechanism.balls(outputs).withColumnRenamed("source", "output").withColumnRenamed("node_id", "candidate")
     seen = settled(seen, "seen")
     totals = mechanism.totals(seen.select(F.col("candidate").alias("node_id")).distinct()).select(F.col("source").alias("candidate"), "total")

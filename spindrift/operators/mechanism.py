@@ -67,6 +67,19 @@ class PlaceGraph:
     def held(self) -> Broadcast:
         return self.nodes.sparkSession.sparkContext.broadcast(self.local)
 
+    @cached_property
+    def spots(self) -> Broadcast:
+        """Eastings and northings of the nodes, for workers; while the graph fits."""
+        got = self.nodes.select("node_id", "easting", "northing").orderBy("node_id").toArrow()
+        return self.nodes.sparkSession.sparkContext.broadcast(tuple(got[c].to_numpy().astype(float) for c in ("easting", "northing")))
+
+    def by_node(self, values: DataFrame, column: str, kind: type) -> Broadcast:
+        """A column of values (node_id) as an array by node, zero where there is none; while the graph fits."""
+        got = values.where("node_id is not null").select("node_id", F.col(column).alias("v")).toArrow()
+        out = np.zeros(self.size, kind)
+        out[got["node_id"].to_numpy()] = got["v"].to_numpy()
+        return self.nodes.sparkSession.sparkContext.broadcast(out)
+
     def _expanded(self, sources: DataFrame, radius: int, schema: str, of: Callable[[exact.Graph, int, list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
         """source and what `of` makes of the shells of each source up to the radius; each source is expanded once, in one task."""
         held, spark = self.held, sources.sparkSession
@@ -196,6 +209,46 @@ class HopMechanism:
         own = self.graph.nodes.select(F.col("node_id").alias("source"), "prior")
         return self.totals(codes_df).join(own, "source").select("source", "ball_size", (F.col("tail_weight") / F.col("total")).alias("teleport_probability"), (F.col("prior") / F.col("total")).alias("self_probability"))
 
+    def measured(self, codes_df: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+        """source, mean_km, median_km, p95_km of outputs below the radius, self_probability, teleport_probability, ball_size, and with
+        areas (node_id, area) area_preserved, the chance of an output below the radius and in the source's area.
+
+        For graphs that fit: a ball is measured in the worker that expands it, and a row a source leaves it.
+        """
+        graph, spots = self.graph, self.graph.spots
+        epsilon, total_prior, least = self.epsilon, self.total_prior, math.exp(-self.epsilon / 2 * self.radius)
+        homes = None if areas is None else graph.by_node(areas.where("area is not null").select("node_id", F.xxhash64("area").bitwiseOR(F.lit(1)).alias("area")), "area", np.int64)
+
+        def of(graph: exact.Graph, source: int, shells: list[np.ndarray]) -> list[np.ndarray]:
+            nodes, hop = np.concatenate(shells), np.repeat(np.arange(len(shells)), [len(s) for s in shells])
+            x, y = spots.value
+            prior, km = graph.prior[nodes], np.hypot(x[nodes] - x[source], y[nodes] - y[source]) / 1000
+            weight = prior * np.exp(-hop * (epsilon / 2))
+            order = np.argsort(km, kind="stable")
+            run, near = np.cumsum(weight[order]), weight.sum()
+            at = [km[order[np.searchsorted(run, q * run[-1] * (1 - 1e-12))]] for q in (0.5, 0.95)]
+            tail = (total_prior - int(prior.sum())) * least
+            row = [(km * weight).sum() / near, *at, graph.prior[source] / (near + tail), tail / (near + tail), len(nodes)]
+            if homes is not None:
+                home = homes.value[source]
+                row.append(weight[homes.value[nodes] == home].sum() / (near + tail) if home else 0.0)
+            return [np.array([v]) for v in row]
+
+        schema = "source long, mean_km double, median_km double, p95_km double, self_probability double, teleport_probability double, ball_size long"
+        return graph._expanded(codes_df, self.radius - 1, schema + (", area_preserved double" if areas is not None else ""), of)
+
+    def posteriors(self, outputs: DataFrame, totals: DataFrame) -> DataFrame:
+        """output, candidate, probability of each candidate within the radius, given one output. outputs: node_id; totals: source,
+        total of all candidates. For graphs that fit."""
+        held, epsilon = self.graph.by_node(totals.withColumnRenamed("source", "node_id"), "total", np.float64), self.epsilon
+
+        def of(graph: exact.Graph, source: int, shells: list[np.ndarray]) -> list[np.ndarray]:
+            nodes, hop = np.concatenate(shells).astype(np.int64), np.repeat(np.arange(len(shells)), [len(s) for s in shells])
+            weight = graph.prior[nodes] * np.exp(-hop * (epsilon / 2)) / held.value[nodes]
+            return [nodes, weight / weight.sum()]
+
+        return self.graph._expanded(outputs, self.radius - 1, "output long, candidate long, probability double", of)
+
     # -- sampling -----------------------------------------------------------------------------
 
     def local(self) -> exact.Graph:
