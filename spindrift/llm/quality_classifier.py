@@ -1,10 +1,9 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a text.
 
 A text is a bag of passages (PASSAGE bytes of UTF-8 each, the whole text). Each passage is seen as the shares of its
-byte trigrams, hashed to BUCKETS, and of its byte classes and pairs of neighbouring classes; a learned layer embeds it
-(its trigram part begins small and decays, as it could learn the sample by heart); gated attention (tanh times sigmoid)
-weighs it; the weighted mean of the embeddings is scored. Only labels of documents train the net, passages have none. The
-score depends on the text alone.
+byte trigrams, hashed to BUCKETS, and of its byte classes and pairs of neighbouring classes; a learned layer embeds it;
+gated attention (tanh times sigmoid) weighs it; the weighted mean of the embeddings is scored. Only labels of documents
+train the net, passages have none. The score depends on the text alone.
 
 The net is fitted on the driver on a bounded sample of labelled rows (SAMPLE at most, and of each MOST passages at
 most, evenly spaced; documented parameters) of folds other than the held-out one. Defined results: a null or empty text is
@@ -27,7 +26,7 @@ from spindrift.llm.common import appended, column, labelled_sample, packed, ship
 
 PASSAGE, HIDDEN, ATTENTION = 512, 16, 8
 SAMPLE, MOST, EPOCHS, RATE = 3000, 32, 160, 0.02
-BUCKETS, SMALL, DECAY = 1 << 9, 0.1, 0.01
+BUCKETS = 1 << 9
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 #: Texts are scored in groups of so many bytes; one longer text is a group of its own.
 GROUP = 1 << 20
@@ -81,9 +80,7 @@ class Net:
     def start(seed: int = 3) -> Net:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-        w = draw(WIDTH, HIDDEN)
-        w[KINDS:] *= SMALL
-        return Net(w, np.zeros(HIDDEN), draw(HIDDEN, ATTENTION), draw(HIDDEN, ATTENTION), draw(ATTENTION), draw(HIDDEN), np.zeros(1))
+        return Net(draw(WIDTH, HIDDEN), np.zeros(HIDDEN), draw(HIDDEN, ATTENTION), draw(HIDDEN, ATTENTION), draw(ATTENTION), draw(HIDDEN), np.zeros(1))
 
     def forward(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple]:
         first, bag = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
@@ -117,8 +114,6 @@ def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) ->
     for k in range(1, epochs + 1):
         for name, g in net.slopes(x, n, y, each).items():
             g = g + 1e-5 * getattr(net, name)
-            if name == "w":
-                g[KINDS:] += DECAY * net.w[KINDS:]
             moved[name] = 0.9 * moved.get(name, 0) + 0.1 * g
             spread[name] = 0.999 * spread.get(name, 0) + 0.001 * g * g
             step = RATE * moved[name] / (1 - 0.9**k) / (np.sqrt(spread[name] / (1 - 0.999**k)) + 1e-8)
