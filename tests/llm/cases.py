@@ -17,12 +17,16 @@ ODD = [
 ]
 
 
+#: Names that operators use inside or give their results.
+CLASHING = "id hash part at ids uid label labels tier rep root links names sketch band bucket copies group class_id side blocks fill pos width item_id shift kind line contaminated coverage anomaly base_failed n_words n_tokens held_out predicted lossless start y h made".split()
+
+
 def odd(spark):
-    return spark.createDataFrame(ODD, SCHEMA)
+    return spark.createDataFrame(ODD, SCHEMA).selectExpr("*", *(f"'{c}' AS {c}" for c in CLASHING))
 
 
 def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return odd(spark).limit(0)
 
 
 def labels(spark, rows=()):

@@ -77,9 +77,9 @@ def test_blocks_of_a_group_and_connections_by_bucket(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_ROWS", 2)
     monkeypatch.setattr(J, "STRIP", 3)
     monkeypatch.setattr(J, "PAIRS", 5)
-    long = [f"v{i}" for i in range(1300)]
-    chain = [" ".join(long[3 * k : 3 * k + 90]) for k in range(400)]  # each is near its neighbours alone
-    rows = list(enumerate(near_copies(40) + chain))
+    long = [f"v{i}" for i in range(900)]
+    chain = [" ".join(long[3 * k : 3 * k + 60]) for k in range(280)]  # each is near its neighbours alone
+    rows = list(enumerate(near_copies(12) + chain))
     found = J.compared(spark.createDataFrame(rows, "doc_id long, text string"))
     bands = {r.band for r in found.cells.select("band").distinct().collect()}
     assert -1 in bands
@@ -164,3 +164,10 @@ def test_labels_of_links_that_come_in_parts():
         for x, y in zip(a, b, strict=True):
             want[x] = want[y] = min(want[x], want[y])
     assert label.tolist() == want.tolist()
+
+
+def test_long_texts_and_words(spark):
+    long = " ".join(f"v{k % 5000}x{k // 5000}" for k in range(100_000))
+    rows = [(1, "x" * 1_000_000), (2, "x" * 1_000_000), (3, "x" * 999_999), (4, long), (5, long + " and more"), (6, "y")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 1), 5: (4, 1), 6: (6, 0)}

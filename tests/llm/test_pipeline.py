@@ -1,5 +1,9 @@
+from collections import Counter
+
 import corpus_pipeline as P
 import __spark_entry__ as E
+from spindrift.llm import piece_sampling
+from spindrift.llm.queries import tokenizer_file
 from tests.llm import cases
 from tests.llm.test_ngram_join import brute as groups
 from tests.llm.test_quality import brute as statistics
@@ -26,11 +30,26 @@ def test_stages_against_brute_force(spark):
 
 
 def test_stages_on_odd_and_empty_tables(spark):
+    whole = Counter(map(tuple, cases.odd(spark).collect()))
     for docs in (cases.odd(spark), cases.empty(spark)):
-        for k, (_, stage) in enumerate(P.STAGES):
+        full = docs.columns == cases.odd(spark).columns and docs.count() > 0
+        for k, (name, stage) in enumerate(P.STAGES):
             out = stage(spark, docs, SF)
-            assert out.count() <= docs.count()
-            assert k == len(P.STAGES) - 1 or out.columns == docs.columns
+            if k == len(P.STAGES) - 1:
+                texts = {r.doc_id: r.text for r in docs.collect()}
+                assert {r.doc_id: r.text for r in piece_sampling.decode(out, tokenizer_file("piece_bpe_32k.model")).collect()} == {d: t or "" for d, t in texts.items()}
+                assert out.count() == docs.count()
+                continue
+            assert out.columns == docs.columns
+            rows = Counter(map(tuple, out.collect()))
+            assert rows <= whole  # whole rows, each as often as it was there or less
+            ids = {r[0] for r in rows}
+            if full:
+                assert {1, None} <= ids or k > 1
+                assert name != "quality rules" or not ids & {2, 3, 4, 9}  # under ten words
+                assert name != "n-gram Jaccard join" or (1 in ids and 5 not in ids)
+            else:
+                assert not rows
 
 
 def test_the_classifier_learns_from_all_documents(spark):
