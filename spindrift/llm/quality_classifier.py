@@ -104,12 +104,13 @@ class Net:
         de = weight * (dw - np.add.reduceat(weight * dw, first)[bag])
         dt, ds = de[:, None] * self.a * s * (1 - t * t), de[:, None] * self.a * t * s * (1 - s)
         dh = (weight[:, None] * dz[bag] + dt @ self.v.T + ds @ self.u.T) * (1 - h * h)
-        return {"w": x.T @ dh, "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "o": z.T @ d, "c": d.sum(keepdims=True)}
+        return {"w": x.T @ dh.astype(x.dtype), "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "o": z.T @ d, "c": d.sum(keepdims=True)}
 
 
 def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Net:
     """Adam on the whole sample of bags (rows of passages, and how many each has); both labels weigh alike in sum."""
     net, moved, spread = Net.start(), {}, {}
+    net.w = net.w.astype(x.dtype)
     each = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
     for k in range(1, epochs + 1):
         for name, g in net.slopes(x, n, y, each).items():
