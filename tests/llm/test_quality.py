@@ -6,6 +6,7 @@ import numpy as np
 
 from spindrift.llm import quality_classifier as C
 from spindrift.llm import quality_rules as R
+from spindrift.llm.common import ranked
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.01"
@@ -122,6 +123,41 @@ def test_path_lengths_are_those_of_a_walk():
     assert forest.score(np.array([[30.0, 30, 30]]))[0] > np.quantile(forest.score(x), 0.95)
 
 
+def test_order_statistics_of_tables_are_exact(spark):
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.random(5000), np.zeros(5000), rng.integers(0, 9, 5000), 1e-300 * 10.0 ** rng.integers(0, 600, 5000).clip(0, 300)], 1)
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(7)
+    wanted = [(k, r) for k in range(4) for r in (0, 4, 2499, 2500, 4990, 4999)]
+    assert ranked(rows, wanted) == [np.sort(x[:, k])[r] for k, r in wanted]
+
+
+def test_the_forest_learns_from_every_labelled_row(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["aa", "bbb", "cccc", "7", "Dd", "#"], 40, p=[0.3, 0.3, 0.3, 0.04, 0.04, 0.02])) for _ in range(6000)]
+    y = (rng.random(6000) < 0.9).astype(int)
+    texts = [t if k else t + " # ! 7 X" * 5 for t, k in zip(texts, y, strict=True)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "doc_id long, quality int")
+    forest = R.fit(docs.repartition(5), labels)
+    base = [R.base_statistics(t) for t in texts]
+    counted, passed = np.array([R.counts(t, b) for t, b in zip(texts, base, strict=True)]), ~np.array([R.failed(b) for b in base])
+    usual = R.Usual.of(counted, (y == 1) & passed)  # of all 6000 rows
+    assert np.allclose([forest.usual.middle, forest.usual.low, forest.usual.high], [usual.middle, usual.low, usual.high], rtol=1e-12, atol=0)
+    score = forest.score(forest.usual.beyond(counted))
+    assert np.isclose(forest.threshold, R.threshold(score[(y == 1) & passed], score[(y == 0) & passed], R.LOSS), rtol=1e-12)
+    again = R.fit(docs.repartition(3), labels)
+    assert (again.threshold, again.cut.tolist()) == (forest.threshold, forest.cut.tolist())
+
+
+def test_the_threshold_of_a_table_against_that_of_arrays(spark):
+    rng = np.random.default_rng(6)
+    for n_bad in (0, 3, 20):
+        good, bad = rng.integers(0, 30, 50) / 30, rng.integers(10, 40, n_bad) / 30
+        rows = spark.createDataFrame([(1, float(x)) for x in good] + [(0, float(x)) for x in bad], "y int, score double")
+        for loss in (0.0, 0.1, 0.3):
+            assert R.threshold_of_all(rows, 50, loss) == R.threshold(good, bad, loss)
+
+
 def test_rules_on_odd_and_empty_tables(spark):
     odd = cases.odd(spark)
     got = R.judge(odd, None)
