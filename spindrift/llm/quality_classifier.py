@@ -5,8 +5,11 @@ byte trigrams, hashed to BUCKETS, and of its byte classes and pairs of neighbour
 gated attention (tanh times sigmoid) weighs it; the weighted mean of the embeddings is scored. Only labels of documents
 train the net, passages have none. The score depends on the text alone.
 
-The net is fitted on the driver on a bounded sample of labelled rows (SAMPLE at most, and of each MOST passages at
-most, evenly spaced; documented parameters) of folds other than the held-out one. Defined results: a null or empty text is
+The net is fitted on all passages of all labelled rows of folds other than the held-out one. Up to LOCAL passages in all are
+learned from on the driver, whole at each step. More are dealt by a hash of their ids to shards of about BATCH rows, EPOCHS
+shards at most; each of EPOCHS steps takes the next shard, so every labelled row is learned from at least once. Workers send
+sums of slopes as integers of a text each, so the net is the same whatever the partitioning; no text reaches the driver.
+Of repeated rows of an id, the smallest label and text count. Defined results: a null or empty text is
 one empty passage; without labels of both kinds every score is 0.5; repeated rows score alike; null ids stay; scored texts
 of any length are read whole; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
@@ -22,12 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.common import appended, column, labelled_sample, packed, ship, slices
+from spindrift.llm.common import Bitmap, appended, column, known_labels, packed, removed, ship, slices, written
 
 PASSAGE, HIDDEN, ATTENTION = 512, 16, 8
-SAMPLE, MOST, EPOCHS, RATE = 3000, 32, 160, 0.02
+MOST, EPOCHS, RATE = 32, 160, 0.02
+#: Passages that the driver learns from by itself, rows of a shard, files at least, bytes of a row group, and bits of
+#: slopes after the point.
+LOCAL, BATCH, PARTS, ROW_GROUP, BITS = 1 << 15, 1024, 6, 1 << 20, 40
 BUCKETS = 1 << 9
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
+#: Bits, as a power of two, of the bitmap of labelled ids.
+LABEL_BITS = 24
 #: Texts are scored in groups of so many bytes; one longer text is a group of its own.
 GROUP = 1 << 20
 
@@ -107,18 +115,66 @@ class Net:
         return {"w": x.T @ dh.astype(x.dtype), "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "o": z.T @ d, "c": d.sum(keepdims=True)}
 
 
-def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Net:
-    """Adam on the whole sample of bags (rows of passages, and how many each has); both labels weigh alike in sum."""
-    net, moved, spread = Net.start(), {}, {}
-    net.w = net.w.astype(x.dtype)
-    each = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    for k in range(1, epochs + 1):
-        for name, g in net.slopes(x, n, y, each).items():
+class Adam:
+    """Steps of a net along its slopes."""
+
+    def __init__(self) -> None:
+        self.k, self.moved, self.spread = 0, {}, {}
+
+    def step(self, net: Net, slopes: dict[str, np.ndarray]) -> None:
+        self.k += 1
+        k, moved, spread = self.k, self.moved, self.spread
+        for name, g in slopes.items():
             g = g + 1e-5 * getattr(net, name)
             moved[name] = 0.9 * moved.get(name, 0) + 0.1 * g
             spread[name] = 0.999 * spread.get(name, 0) + 0.001 * g * g
             step = RATE * moved[name] / (1 - 0.9**k) / (np.sqrt(spread[name] / (1 - 0.999**k)) + 1e-8)
             setattr(net, name, (getattr(net, name) - step).astype(np.float32))
+
+
+def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Net:
+    """Adam on all bags (rows of passages, and how many each has) at once; both labels weigh alike in sum."""
+    net, adam = Net.start(), Adam()
+    net.w = net.w.astype(x.dtype)
+    each = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
+    for _ in range(epochs):
+        adam.step(net, net.slopes(x, n, y, each))
+    return net
+
+
+def summed(net: Net, texts: list[str | None], y: list[int], weight: dict[int, float]) -> np.ndarray:
+    """Slopes of texts by their labels' weights as whole numbers of 2 ** -BITS, summed: in any order the same."""
+    total = 0
+    for text, label in zip(texts, y, strict=True):
+        x, n = passages([text])
+        slopes = net.slopes(x.astype(np.float32), n, np.array([label]), np.array([weight[label]]))
+        total = total + np.rint(np.concatenate([slopes[k].ravel() for k in Net.NAMES]).astype(np.float64) * 2.0**BITS).astype(np.int64)
+    return total
+
+
+def train_shards(bags: DataFrame, shards: int, count: dict[int, int], epochs: int = EPOCHS) -> Net:
+    """The same by steps of a shard each. bags: shard, y, text, files sorted by shard; count: rows of each label."""
+    net, adam, less = Net.start(), Adam(), min(count.values())
+    weight = {k: less / n for k, n in count.items()}
+    net.w = net.w.astype(np.float32)
+    for step in range(max(epochs, shards)):
+
+        def run(batches: Iterator[pa.RecordBatch], net: Net = net) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for batch in slices(batches):
+                if batch.num_rows:
+                    total = total + summed(net, column(batch, "text"), column(batch, "y"), weight)
+            if not isinstance(total, int):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["slopes"])
+
+        sums = bags.where(F.col("shard") == step % shards).select("y", "text").mapInArrow(run, "slopes binary").collect()
+        total = sum((np.frombuffer(r["slopes"], np.int64) for r in sums), np.zeros(sum(getattr(net, k).size for k in Net.NAMES), np.int64))
+        flat, slopes, at = total * (2.0**-BITS * 0.5 * shards / less), {}, 0
+        for name in Net.NAMES:
+            part = getattr(net, name)
+            slopes[name] = flat[at : at + part.size].reshape(part.shape).astype(part.dtype)
+            at += part.size
+        adam.step(net, slopes)
     return net
 
 
@@ -131,12 +187,48 @@ def sampled(texts: list[str | None]) -> list[bytes]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, label: str = "quality") -> Net | None:
-    made, y = labelled_sample(docs, labels, label, rows, sampled, (FOLDS, HELD_OUT))
-    if not len(y) or y.min() == y.max():
+def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """doc_id, y, text of all labelled ids outside the held-out fold, as a plan: texts without a label leave it before any shuffle,
+    but for the few that a bitmap of labelled ids lets pass."""
+    known = known_labels(labels, label, (FOLDS, HELD_OUT))
+    name = F.xxhash64(F.col("doc_id").cast("string")).alias("hash")
+    held = docs.sparkSession.sparkContext.broadcast(Bitmap(known.select(name), LABEL_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(2).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(held.value.may_hold(hashes))).select([0, 1])
+
+    some = docs.where("doc_id is not null").select("doc_id", "text", name).mapInArrow(run, T.StructType([docs.schema["doc_id"], docs.schema["text"]]))
+    rows = some.select("doc_id", F.lit(None).cast("int").alias("y"), "text", F.lit(1).alias("found")).union(known.select("doc_id", "y", F.lit(None).cast("string").alias("text"), F.lit(0).alias("found")))
+    return rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"), F.max("found").alias("found")).where("y is not null and found = 1").drop("found")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", local: int = LOCAL) -> Net | None:
+    spark = docs.sparkSession
+    ship(spark)
+    bags = written(labelled(docs, labels, label), "bags")
+    size = F.greatest(F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE), F.lit(1))
+    per = {r["y"]: r for r in bags.groupBy("y").agg(F.count("*").alias("n"), F.sum(size).alias("passages")).collect()}
+    if len(per) < 2:
+        removed(bags)
         return None
-    bags = [np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in made]
-    return train(np.concatenate(bags), np.array([len(b) for b in bags]), y)
+    if sum(r["passages"] for r in per.values()) <= local:
+        got = bags.withColumn("h", F.crc32(F.col("doc_id").cast("string"))).orderBy("h", "doc_id").select("y", "text").toArrow()
+        parts = [passages([t]) for t in got["text"].to_pylist()]
+        removed(bags)
+        return train(np.concatenate([x.astype(np.float32) for x, _ in parts]), np.concatenate([n for _, n in parts]), got["y"].to_numpy())
+    count = {y: r["n"] for y, r in per.items()}
+    shards = min(EPOCHS, -(-sum(count.values()) // BATCH))
+    place = F.xxhash64(F.col("doc_id").cast("string"), F.lit("shard"))
+    files = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    dealt = bags.select("y", "text", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.shiftright(place, 32).alias("part")).repartition(files, "part").drop("part").sortWithinPartitions("shard")
+    # Short row groups in the order of shards, so that a step reads its own ones.
+    laid = written(dealt, "shards", {"parquet.block.size": str(ROW_GROUP)})
+    removed(bags)
+    net = train_shards(laid, shards, count)
+    removed(laid)
+    return net
 
 
 def scores(net: Net | None, texts: list[str | None]) -> np.ndarray:

@@ -180,6 +180,42 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def test_shards_learn_from_every_labelled_row(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("crc32(cast(doc_id as string)) % 5 <> 0 and quality in (0, 1)")
+    seen = []
+
+    def train_shards(bags, shards, count):
+        seen.append((shards, count, bags.count(), bags.select("shard").distinct().count()))
+        return C.Net.start()
+
+    monkeypatch.setattr(C, "train_shards", train_shards)
+    C.fit(docs, labels, local=0)
+    n = known.join(docs, "doc_id").select("doc_id").distinct().count()
+    shards, count, rows, distinct = seen[0]
+    assert n > 3000 and rows == sum(count.values()) == n
+    assert shards == distinct == -(-n // C.BATCH)
+
+
+def test_steps_by_shards_are_steps_on_all_rows(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["good", "words", "here"] if k % 3 else ["%%", "$$", "here"], 150 + k)) for k in range(24)]
+    y = [int(k % 3 > 0) for k in range(24)]
+    bags = spark.createDataFrame([(0, k, t) for t, k in zip(texts, y, strict=True)], "shard int, y int, text string")
+    one, two = (C.train_shards(bags.repartition(n), 1, {0: 8, 1: 16}, 4) for n in (1, 5))
+    assert all(np.array_equal(getattr(one, k), getattr(two, k)) for k in C.Net.NAMES)
+    x, n = C.passages(texts)
+    whole = C.train(x.astype(np.float32), n, np.array(y), 4)
+    assert all(np.allclose(getattr(one, k), getattr(whole, k), atol=1e-4) for k in C.Net.NAMES)
+
+
+def test_held_out_accuracy_of_shards(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = C.predictions(C.score(docs, C.fit(docs, labels, local=0))).join(labels, "doc_id").where("held_out").collect()
+    print("shards: rows held out", len(got), "wrong", sum(r.predicted != r.quality for r in got))
+    assert np.mean([r.predicted == r.quality for r in got]) > 0.97
+
+
 def brute_score(net, text):
     """The forward pass of one text, passage by passage and number by number."""
     raw = (text or "").encode()
