@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spindrift.errors import UnknownTarget
 from spindrift.functions import codes
 from spindrift.functions.exact import Key
-from spindrift.operators.mechanism import HopMechanism, PlaceGraph, ball_quantiles
+from spindrift.operators.mechanism import HopMechanism, PlaceGraph, ball_quantiles, measured_together
 from spindrift.operators.nodes import numbered
 from spindrift.tables import settled
 
@@ -108,8 +108,12 @@ def group_summary(mechanism: HopMechanism, sample: DataFrame, areas: DataFrame,
     else:
         placed = placed if placed is not None else placed_ball(mechanism.graph, sample, mechanism.radius - 1)
         of = displacement(mechanism, sample, placed).join(area_preservation(mechanism, sample, areas, placed), "source")
+    return _by_group(of, sample, "group")
+
+
+def _by_group(of: DataFrame, sample: DataFrame, *by: str) -> DataFrame:
     rows = of.join(sample.withColumnRenamed("node_id", "source"), "source")
-    return rows.groupBy("group").agg(F.count("*").alias("count"), F.expr("percentile(median_km, 0.5)").alias("median_km"), F.expr("percentile(p95_km, 0.95)").alias("p95_km"), F.expr("percentile(area_preserved, 0.5)").alias("area_preserved"), F.expr("percentile(self_probability, 0.5)").alias("median_self_probability"))
+    return rows.groupBy(*by).agg(F.count("*").alias("count"), F.expr("percentile(median_km, 0.5)").alias("median_km"), F.expr("percentile(p95_km, 0.95)").alias("p95_km"), F.expr("percentile(area_preserved, 0.5)").alias("area_preserved"), F.expr("percentile(self_probability, 0.5)").alias("median_self_probability"))
 
 
 @dataclass(frozen=True)
@@ -211,9 +215,14 @@ def equivalent_epsilons(graph: PlaceGraph, groups: DataFrame, per_group: int, se
 
 
 def epsilon_table(graph: PlaceGraph, sample: DataFrame, areas: DataFrame, epsilons: list[float], radius: int | None = None) -> DataFrame:
-    """epsilon and group_summary of one sample for each; where the graph does not fit into workers, one ball, as wide as any asks for, serves all."""
+    """epsilon and group_summary of one sample for each; one ball, as wide as any asks for, serves all: in the worker that expands
+    it, or as a table where the graph does not fit into workers."""
     made = [HopMechanism(graph, e, radius) for e in epsilons]
-    placed = None if graph.fits else placed_ball(graph, sample, max(m.radius for m in made) - 1)
+    if graph.fits:
+        of = settled(measured_together(made, sample, areas), "measured")
+        rows = _by_group(of, sample, "epsilon", "group")
+        return rows.select(*(c for c in rows.columns if c != "epsilon"), "epsilon")
+    placed = placed_ball(graph, sample, max(m.radius for m in made) - 1)
     return reduce(DataFrame.union, [group_summary(m, sample, areas, placed).withColumn("epsilon", F.lit(m.epsilon)) for m in made])
 
 
