@@ -238,8 +238,7 @@ def exposure_percentiles(mechanism: HopMechanism, sample: DataFrame) -> DataFram
 def posterior(mechanism: HopMechanism, outputs: DataFrame) -> DataFrame:
     """output, candidate, probability of each candidate within the radius, given one output. outputs: node_id."""
     if mechanism.graph.fits:
-        reach = mechanism.balls(outputs).select("node_id").distinct()
-        return mechanism.posteriors(outputs, mechanism.totals(reach).select("source", "total"))
+        return mechanism.posteriors(outputs, mechanism.totals(mechanism.graph.within(outputs, mechanism.radius - 1)).select("source", "total"))
     seen = mechanism.balls(outputs).withColumnRenamed("source", "output").withColumnRenamed("node_id", "candidate")
     seen = settled(seen, "seen")
     totals = mechanism.totals(seen.select(F.col("candidate").alias("node_id")).distinct()).select(F.col("source").alias("candidate"), "total")
