@@ -330,3 +330,42 @@ def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         tables.shared_folder(Asked)
+
+
+def test_bridges_and_components_by_arrays_and_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    for n, m, k in ((1, 0, 0), (40, 15, 60), (300, 150, 500)):
+        at = spark.createDataFrame([(i * 3,) for i in range(n)], "node_id long")
+        ends = lambda size: [tuple(int(x) * 3 for x in sorted(rng.choice(n, 2, replace=False))) for _ in range(size)]  # noqa: B023, E731
+        kept = spark.createDataFrame(ends(m), "a long, b long")
+        cand = sorted({(int(rng.integers(1, 9)) * 1.0, *e) for e in ends(k)})
+        # Shortest first, by union and find.
+        root = {i * 3: i * 3 for i in range(n)}
+
+        def top(x):
+            while root[x] != x:  # noqa: B023
+                x = root[x]  # noqa: B023
+            return x
+
+        for r in kept.collect():
+            x, y = sorted((top(r.a), top(r.b)))
+            root[y] = x
+        of = {x: top(x) for x in root}
+        want = set()
+        for metres, a, b in cand:
+            x, y = sorted((top(a), top(b)))
+            if x != y:
+                root[y] = x
+                want.add((a, b, metres))
+        ways = spark.createDataFrame([(a, b, metres) for metres, a, b in cand], "a long, b long, metres double")
+        counted, components = [], graph.components
+        with monkeypatch.context() as patch:
+            patch.setattr(graph, "components", lambda *x: counted.append(1) or components(*x))
+            got = {tuple(r) for r in graph.bridges(at, kept, ways).select("a", "b", "metres").collect()}
+            assert got == want and len(counted) == 1  # components of the graph once, not in each round
+        assert {r.node_id: r.component for r in graph.components(at, kept).collect()} == of
+        if n < 300:
+            with monkeypatch.context() as patch:
+                patch.setattr(graph, "LOCAL_EDGES", -1)
+                assert {tuple(r) for r in graph.bridges(at, kept, ways).select("a", "b", "metres").collect()} == want
+                assert {r.node_id: r.component for r in graph.components(at, kept).collect()} == of
