@@ -16,7 +16,7 @@ of any length are read whole; an empty table gives no rows; extra columns are ig
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +36,8 @@ BUCKETS = 1 << 9
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 #: Bits, as a power of two, of the bitmap of labelled ids.
 LABEL_BITS = 24
-#: Texts are scored in groups of so many bytes; one longer text is a group of its own.
-GROUP = 1 << 20
+#: Bytes that are seen at a time, in whole passages: texts are scored in groups of so many, a longer text in parts.
+GROUP = 1 << 18
 
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r\t", b".", b",", b"!?", b"|", b"#$%&*", b"<>{}[]\\/=@_~^", b"'\"`()-:;+", bytes(range(128, 192)), bytes(range(192, 256))]
 CLASSES = len(_KINDS) + 1
@@ -51,7 +51,17 @@ WIDTH = KINDS + BUCKETS
 
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all passages, and of each text the number of its passages."""
-    raws = [packed(t) for t in texts]
+    return seen([packed(t) for t in texts])
+
+
+def parts(raw: bytes) -> Iterator[np.ndarray]:
+    """Feature rows of one text, GROUP bytes at a time."""
+    for at in range(0, max(len(raw), 1), GROUP):
+        yield seen([raw[at : at + GROUP]])[0]
+
+
+def seen(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """`passages` of texts as bytes; takes some 70 times their size."""
     sizes = np.array([len(r) for r in raws])
     n = np.maximum(1, -(-sizes // PASSAGE))
     plain = np.frombuffer(b"".join(raws), np.uint8)
@@ -90,10 +100,17 @@ class Net:
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
         return Net(draw(WIDTH, HIDDEN), np.zeros(HIDDEN), draw(HIDDEN, ATTENTION), draw(HIDDEN, ATTENTION), draw(ATTENTION), draw(HIDDEN), np.zeros(1))
 
+    def embedded(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        h = np.tanh(x @ self.w + self.b)
+        return h, np.tanh(h @ self.v), 1 / (1 + np.exp(-h @ self.u))
+
     def forward(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple]:
+        return self.forward_of([x], n)
+
+    def forward_of(self, some: Iterable[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """some: the rows of passages, in parts; what is kept of a part is some 30 numbers a passage."""
         first, bag = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
-        h = np.tanh(x @ self.w + self.b)
-        t, s = np.tanh(h @ self.v), 1 / (1 + np.exp(-h @ self.u))
+        h, t, s = (np.concatenate(k) for k in zip(*map(self.embedded, some), strict=True))
         e = (t * s) @ self.a
         e = np.exp(e - np.maximum.reduceat(e, first)[bag])
         weight = e / np.add.reduceat(e, first)[bag]
@@ -105,14 +122,21 @@ class Net:
         return self.forward(x, n)[0]
 
     def slopes(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, each: np.ndarray) -> dict[str, np.ndarray]:
-        p, (first, bag, h, t, s, weight, z) = self.forward(x, n)
+        return self.slopes_of(lambda: [x], n, y, each)
+
+    def slopes_of(self, some: Callable[[], Iterable[np.ndarray]], n: np.ndarray, y: np.ndarray, each: np.ndarray) -> dict[str, np.ndarray]:
+        """The same from parts of the rows, which are gone through twice."""
+        p, (first, bag, h, t, s, weight, z) = self.forward_of(some(), n)
         d = (p - y) * each
         dz = d[:, None] * self.o
         dw = (dz[bag] * h).sum(1)
         de = weight * (dw - np.add.reduceat(weight * dw, first)[bag])
         dt, ds = de[:, None] * self.a * s * (1 - t * t), de[:, None] * self.a * t * s * (1 - s)
         dh = (weight[:, None] * dz[bag] + dt @ self.v.T + ds @ self.u.T) * (1 - h * h)
-        return {"w": x.T @ dh.astype(x.dtype), "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "o": z.T @ d, "c": d.sum(keepdims=True)}
+        w, at = 0, 0
+        for x in some():
+            w, at = w + x.T @ dh[at : at + len(x)].astype(x.dtype), at + len(x)
+        return {"w": w, "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "o": z.T @ d, "c": d.sum(keepdims=True)}
 
 
 class Adam:
@@ -146,8 +170,9 @@ def summed(net: Net, texts: list[str | None], y: list[int], weight: dict[int, fl
     """Slopes of texts by their labels' weights as whole numbers of 2 ** -BITS, summed: in any order the same."""
     total = 0
     for text, label in zip(texts, y, strict=True):
-        x, n = passages([text])
-        slopes = net.slopes(x.astype(np.float32), n, np.array([label]), np.array([weight[label]]))
+        raw = packed(text)
+        n = np.array([max(1, -(-len(raw) // PASSAGE))])
+        slopes = net.slopes_of(lambda raw=raw: (x.astype(np.float32) for x in parts(raw)), n, np.array([label]), np.array([weight[label]]))
         total = total + np.rint(np.concatenate([slopes[k].ravel() for k in Net.NAMES]).astype(np.float64) * 2.0**BITS).astype(np.int64)
     return total
 
@@ -215,9 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", local: int =
         return None
     if sum(r["passages"] for r in per.values()) <= local:
         got = bags.withColumn("h", F.crc32(F.col("doc_id").cast("string"))).orderBy("h", "doc_id").select("y", "text").toArrow()
-        parts = [passages([t]) for t in got["text"].to_pylist()]
+        raws = [packed(t) for t in got["text"].to_pylist()]
         removed(bags)
-        return train(np.concatenate([x.astype(np.float32) for x, _ in parts]), np.concatenate([n for _, n in parts]), got["y"].to_numpy())
+        return train(np.concatenate([x.astype(np.float32) for raw in raws for x in parts(raw)]), np.array([max(1, -(-len(raw) // PASSAGE)) for raw in raws]), got["y"].to_numpy())
     count = {y: r["n"] for y, r in per.items()}
     shards = min(EPOCHS, -(-sum(count.values()) // BATCH))
     place = F.xxhash64(F.col("doc_id").cast("string"), F.lit("shard"))
@@ -234,14 +259,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", local: int =
 def scores(net: Net | None, texts: list[str | None]) -> np.ndarray:
     if net is None:
         return np.full(len(texts), 0.5)
-    out, group, size = [], [], 0
-    for t in texts:
-        if group and size + len(t or "") > GROUP:
-            out.append(net.score(*passages(group)))
+    out, group, size = [np.zeros(0)], [], 0
+    for raw in [packed(t) for t in texts]:
+        if group and size + len(raw) > GROUP:
+            out.append(net.score(*seen(group)))
             group, size = [], 0
-        group.append(t)
-        size += len(t or "")
-    return np.concatenate([*out, net.score(*passages(group))]) if group else np.zeros(0)
+        if len(raw) > GROUP:
+            out.append(net.forward_of(parts(raw), np.array([-(-len(raw) // PASSAGE)]))[0])
+        else:
+            group.append(raw)
+            size += len(raw)
+    return np.concatenate([*out, net.score(*seen(group))] if group else out)
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:

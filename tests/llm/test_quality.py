@@ -294,6 +294,27 @@ def test_scores_do_not_depend_on_batches():
     assert np.allclose(C.scores(net, texts), np.concatenate([C.scores(net, [t]) for t in texts]))
 
 
+def test_long_texts_are_seen_in_parts(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = " ".join(rng.choice(["good", "words", "é%%", "here."], 150_000))
+    net, raw = C.Net.start(), text.encode()
+    assert len(raw) > 2 * C.GROUP
+    x, n = C.passages([text])
+    sizes, seen = [], C.seen
+
+    def watched(raws):
+        sizes.append(sum(map(len, raws)))
+        return seen(raws)
+
+    monkeypatch.setattr(C, "seen", watched)
+    texts = ["a b", text, None, text[:5000]]
+    assert np.allclose(C.scores(net, texts), [brute_score(net, t) for t in texts], atol=1e-9)
+    got = C.summed(net, [text], [1], {1: 0.5})
+    assert max(sizes) <= C.GROUP and sum(sizes) > 3 * len(raw)
+    slopes = net.slopes(x, n, np.array([1]), np.array([0.5]))
+    assert np.allclose(got * 2.0**-C.BITS, np.concatenate([slopes[k].ravel() for k in C.Net.NAMES]), atol=1e-5)
+
+
 def test_classifier_on_odd_and_empty_tables(spark):
     odd = cases.odd(spark)
     assert C.score(odd, None).count() == len(cases.ODD)
