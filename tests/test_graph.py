@@ -45,6 +45,33 @@ def test_tiles_give_the_edges_of_one_kernel(spark, monkeypatch):
     assert {(r.a, r.b) for r in geometry.delaunay_edges(places(spark, points)).collect()} == want
 
 
+def test_tiles_of_a_grid_do_not_cross(spark, monkeypatch):
+    monkeypatch.setattr(triangulation, "TILE_POINTS", 30)
+    found = geometry.location_edges(spark.createDataFrame([(x * 10, y * 10) for x in range(24) for y in range(24)], "x long, y long")).collect()
+    # Rows, columns and one diagonal of each square: of two, tiles that see other points could take both.
+    assert sorted(abs(r.ax - r.bx) + abs(r.ay - r.by) for r in found) == [10] * (2 * 24 * 23) + [20] * 23 * 23
+
+
+def test_no_kernel_takes_all_points(spark, monkeypatch):
+    rng = random.Random(5)
+    points = {(rng.randrange(100_000), rng.randrange(100_000)) for _ in range(6000)}
+    rounds, settled = [], triangulation.settled
+
+    def watched(df, name):
+        out = settled(df, name)
+        rounds.append(out.where("kind > 0").selectExpr("ax", "ay").distinct().count() if "kind" in out.columns else len(points))
+        return out
+
+    monkeypatch.setattr(triangulation, "settled", watched)
+    monkeypatch.setattr(triangulation, "TILE_POINTS", 100)
+    n = geometry.location_edges(spark.createDataFrame(sorted(points), "x long, y long")).count()
+    hull = 3 * len(points) - 3 - n
+    assert 3 < hull < 100
+    # Rounds of 8, 4 and 2 tiles across leave fewer and fewer points; the last one has what two tiles' borders left.
+    left = rounds[1:]
+    assert left == sorted(left, reverse=True) and left[-1] == 0 and left[-2] < 0.15 * len(points)
+
+
 def test_smallest_collinear_and_colocated(spark):
     edges = lambda pts: {(r.a, r.b) for r in geometry.delaunay_edges(places(spark, pts)).collect()}
     assert edges([(0, 0), (10, 0), (0, 10)]) == {(0, 1), (0, 2), (1, 2)}
