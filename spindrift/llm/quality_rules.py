@@ -116,11 +116,10 @@ class Usual:
     def of_all(rows: DataFrame) -> Usual:
         """The same from the counts (x) of all rows of a table."""
         n, places = rows.count(), range(len(STATISTICS))
-        shares = _mapped(rows, lambda x: x[:, :-3] / np.maximum(x[:, _PER], 1))
-        got = ranked(shares, [(k, r) for k in places for r in ((n - 1) // 2, n // 2)])
+        got = ranked(rows, [(k, r) for k in places for r in ((n - 1) // 2, n // 2)], lambda x: x[:, :-3] / np.maximum(x[:, _PER], 1))
         usual = Usual((np.array(got[::2]) + np.array(got[1::2])) / 2)
         ends = [q * (n - 1) for q in (USUAL, 1 - USUAL)]
-        got = ranked(_mapped(rows, usual.statistics), [(k, r) for k in places for e in ends for r in (int(e), min(int(e) + 1, n - 1))])
+        got = ranked(rows, [(k, r) for k in places for e in ends for r in (int(e), min(int(e) + 1, n - 1))], usual.statistics)
         low, high = np.array(got).reshape(-1, 2, 2).transpose(1, 2, 0)
         usual.low, usual.high = (a + (b - a) * (e - int(e)) for (a, b), e in zip((low, high), ends, strict=True))
         return usual
@@ -139,17 +138,6 @@ class Usual:
         return np.log1p((np.maximum(x - self.high, 0) + np.maximum(self.low - x, 0)) / np.maximum(self.high - self.low, 1e-6))
 
 
-def _mapped(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """x: what `of` makes of the counts x of rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([_lists(of(_matrix(batch, "x")))], names=["x"])
-
-    return rows.select("x").mapInArrow(run, "x array<double>")
-
-
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy().reshape(batch.num_rows, -1)
 

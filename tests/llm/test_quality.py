@@ -131,6 +131,17 @@ def test_order_statistics_of_tables_are_exact(spark):
     assert ranked(rows, wanted) == [np.sort(x[:, k])[r] for k, r in wanted]
 
 
+def test_order_statistics_take_one_worker_a_task(spark, monkeypatch):
+    x = np.random.default_rng(6).random((300, 3))
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
+    plans, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    counted = np.hstack([np.random.default_rng(7).integers(0, 9, (300, len(R.STATISTICS))), np.random.default_rng(8).integers(10, 99, (300, 3))]).astype(float)
+    R.Usual.of_all(spark.createDataFrame([(r.tolist(),) for r in counted], "x array<double>"))
+    assert plans and all(p.count("MapInArrow") == 1 for p in plans)
+    assert ranked(rows, [(1, 7)], np.sqrt) == [float(np.sort(np.sqrt(x[:, 1]))[7])]
+
+
 def test_the_forest_learns_from_every_labelled_row(spark):
     rng = np.random.default_rng(9)
     texts = [" ".join(rng.choice(["aa", "bbb", "cccc", "7", "Dd", "#"], 40, p=[0.3, 0.3, 0.3, 0.04, 0.04, 0.02])) for _ in range(6000)]
